@@ -2,20 +2,28 @@
 
 Pre-tokenisation of the supported files never joins characters across a blank, line break or tab, so
 the ids of a text are the ids of its blank-separated pieces in order.  Each distinct piece goes through
-the ``tokenizers`` library once per worker (the store of known pieces is emptied when it is full), the
-rest is look-up.  ``tests/llm/test_tokens.py`` holds this equal to encoding the texts directly.
+the ``tokenizers`` library once per worker (the stores are emptied when they are full), the rest is
+look-up.  ``tests/llm/test_tokens.py`` holds this equal to encoding the texts directly.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 
+import regex
+
 #: Lower-casing before the look-up changes nothing below U+0180, save for the dotted capital I.
 _NOT_SIMPLE = re.compile("[İƀ-\U0010ffff]")
-_BLANKS = str.maketrans("\n\t\r", "   ")
-KNOWN_PIECES = 300_000
+#: Lower-case pieces of these characters are in normal form, and every part is what it is for the library.
+_SIMPLE = re.compile("[!-@\\[-~¡-¿×ß-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĵķĸĺļľłńņňŉŋōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżžſ]+")
+#: Byte-level files write the bytes that print nothing as letters from U+0100 on.
+_PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINT)}
+#: Pieces, and parts of pieces, that a worker remembers: about 200 bytes each.
+KNOWN_PIECES = 500_000
 #: Texts of at most so many characters are looked up together.
 GROUP_CHARS = 4_000_000
 
@@ -27,18 +35,27 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """``encode(texts)`` gives for each text (None: empty) the bytes of its little-endian uint32 ids."""
+    """``encode(texts)`` gives for each text (None: empty) the bytes of its little-endian uint32 ids.
+
+    A new piece of simple characters is split as the file's pre-tokenizer says, and its parts, which repeat
+    more often than pieces, go through the library's model; any other piece goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str, known: int = KNOWN_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # A leading blank is a token of its own in byte-level files: only word files split here.
-        self.by_piece = self.tokenizer.encode("a b", add_special_tokens=False).ids == [
-            i for w in ("a", "b") for i in self.tokenizer.encode(w, add_special_tokens=False).ids
-        ]
-        self.known, self.store = known, {}
+        file = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (file["normalizer"] or {}).get("normalizers", [])]
+        splits = (file["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        # Only files that split at blanks, drop them, and know no token with a blank can be cut there.
+        self.by_piece = steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and splits[0]["invert"]
+        if self.by_piece:
+            self.parts = regex.compile(splits[0]["pattern"]["Regex"]).findall
+            self.special = [x["content"] for x in file["added_tokens"]]
+            self.model = self.tokenizer.model
+        self.known, self.store, self.part_store = known, {}, {}
 
     def encode(self, texts) -> list[bytes]:
         if not self.by_piece:
@@ -51,7 +68,7 @@ class Encoder:
             text = text or ""
             if not _NOT_SIMPLE.search(text):
                 text = text.lower()
-            group.append(text.translate(_BLANKS).split(" ") if not text.isascii() else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+            group.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
             chars += len(text)
             if chars >= GROUP_CHARS:
                 out += self._look_up(group)
@@ -65,13 +82,27 @@ class Encoder:
         if len(store) + len(new) > self.known:
             store.clear()
             new = words
-        if new:
-            new = list(new)
-            for w, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                store[w] = array("I", x.ids).tobytes()
+        for w in new:
+            store[w] = self._piece(w)
         get = store.__getitem__
         return [b"".join(map(get, x)) for x in group]
 
+    def _piece(self, piece: str) -> bytes:
+        if not piece:
+            return b""
+        if not _SIMPLE.fullmatch(piece) or any(x in piece for x in self.special):
+            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        store, out = self.part_store, []
+        for part in self.parts(piece):
+            ids = store.get(part)
+            if ids is None:
+                if len(store) >= self.known:
+                    store.clear()
+                mapped = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LEVEL)
+                store[part] = ids = array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
+            out.append(ids)
+        return b"".join(out)
+
 
 _OPEN: dict[str, Encoder] = {}
 
