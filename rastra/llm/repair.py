@@ -32,35 +32,56 @@ _BINS = 1 << 20
 _STEP = 256
 
 
-def compress(ids: np.ndarray, last: np.ndarray, *, terminals: int, min_count: int = 8, max_rounds: int = 12, max_symbols: int = 1 << 16):
-    """Symbols, their last-of-document flags and rules (left, right).  Symbol ``terminals + k`` is rule k."""
+def compress(ids: np.ndarray, ends: np.ndarray, *, terminals: int, min_count: int = 8, max_rounds: int = 12, max_symbols: int = 1 << 16):
+    """Symbols, the ends of the documents (none is empty) in them, and rules (left, right).  Symbol ``terminals + k`` is rule k.
+
+    Pairs are counted in hashed bins, without a sort.  Of the pairs that share a bin one is taken in a round; the
+    next round hashes otherwise.
+    """
     a, rules = ids.astype(np.uint32), []
     room = max(0, max_symbols - terminals)
-    for _ in range(max_rounds):
+    multipliers = np.random.default_rng(2).integers(1 << 31, size=(max_rounds, 2), dtype=np.uint32) * 2 + 1
+    slot_of = np.empty(_BINS + 1, np.int32)
+    for m1, m2 in multipliers.astype(np.uint32):
         if len(a) < 2 or len(rules) >= room:
             break
-        key = (a[:-1].astype(np.uint64) << np.uint64(32)) | a[1:]
-        key[last[:-1]] = 0
-        bins = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        counts = np.bincount(bins, minlength=_BINS)
-        counts[bins[np.flatnonzero(last[:-1])[:1]]] = 0
-        least = max(min_count, int(counts.max()) // 8)
-        at = np.flatnonzero((counts >= least)[bins] & ~last[:-1])
-        if not len(at):
-            if least == min_count:
-                break
-            continue
-        pairs, place, number = np.unique(key[at], return_inverse=True, return_counts=True)
-        good = number >= min(least, number.max())
-        if number.max() < min_count:
+        bins = a[:-1] * m1
+        bins += a[1:] * m2
+        bins >>= np.uint32(12)
+        bins = bins.astype(np.int64)  # bincount and look-up are faster so
+        bins[ends[:-1] - 1] = _BINS
+        counts = np.bincount(bins, minlength=_BINS + 1)
+        counts[_BINS] = 0
+        top = int(counts.max())
+        if top < min_count:
             break
-        order = np.lexsort((pairs, -number))
-        rank = np.empty(len(pairs), np.int64)
-        rank[order] = np.arange(len(pairs))
-        keep = good[place] & (rank[place] < room - len(rules))
-        at, score = at[keep], rank[place[keep]]
+        least = max(min_count, top // 8)
+        hot = np.flatnonzero(counts >= least)
+        slot_of.fill(-1)
+        slot_of[hot] = np.arange(len(hot))
+        slot = slot_of[bins]
+        at = np.flatnonzero(slot >= 0)
+        slot = slot[at]
+        key = a[at].astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= a[at + 1]
+        pair_of = np.empty(len(hot), np.uint64)
+        pair_of[slot] = key
+        same = pair_of[slot] == key
+        if not same.all():
+            at, slot = at[same], slot[same]
+        number = np.bincount(slot, minlength=len(hot))
+        frequent = np.flatnonzero(number >= least)
+        if not len(frequent):
+            continue
+        frequent = frequent[np.lexsort((pair_of[frequent], -number[frequent]))][: room - len(rules)]
+        rank_of = np.full(len(hot), -1, np.int32)
+        rank_of[frequent] = np.arange(len(frequent))
+        score = rank_of[slot]
+        if score.min() < 0:
+            at, score = at[score >= 0], score[score >= 0]
         # Of overlapping occurrences the pair of better rank wins, then the earlier one.
-        chosen = np.zeros(0, np.int64)
+        chosen, ranks = [], []
         for _ in range(3):
             if not len(at):
                 break
@@ -69,26 +90,26 @@ def compress(ids: np.ndarray, last: np.ndarray, *, terminals: int, min_count: in
             win = np.ones(len(at), bool)
             win[1:] &= ~(touch & beats)
             win[:-1] &= ~(touch & ~beats)
-            chosen = np.concatenate([chosen, at[win]])
+            chosen.append(at[win])
+            ranks.append(score[win])
             gone = win.copy()
             gone[1:] |= win[:-1] & touch
             gone[:-1] |= win[1:] & touch
             at, score = at[~gone], score[~gone]
-        chosen.sort()
-        used, place, number = np.unique(key[chosen], return_inverse=True, return_counts=True)
-        fit = number >= 3
-        chosen, place = chosen[fit[place]], (np.cumsum(fit) - 1)[place[fit[place]]]
-        used = used[fit]
-        if not len(used):
+        spot, rank = np.concatenate(chosen), np.concatenate(ranks)
+        fit = np.bincount(rank, minlength=len(frequent)) >= 3
+        if not fit.any():
             break
+        if not fit.all():
+            spot, rank = spot[fit[rank]], rank[fit[rank]]
         first = terminals + len(rules)
+        used = pair_of[frequent[fit]]
         rules += list(zip((used >> np.uint64(32)).tolist(), (used & np.uint64(0xFFFFFFFF)).tolist()))
-        a[chosen] = (first + place).astype(np.uint32)
+        a[spot] = (first - 1 + np.cumsum(fit))[rank]
         stay = np.ones(len(a), bool)
-        stay[chosen + 1] = False
-        last[chosen] = last[chosen + 1]
-        a, last = a[stay], last[stay]
-    return a, last, np.array(rules, np.uint32).reshape(-1, 2)
+        stay[spot + 1] = False
+        a, ends = a[stay], ends - np.searchsorted(np.sort(spot), ends - 1)
+    return a, ends, np.array(rules, np.uint32).reshape(-1, 2)
 
 
 def expansions(rules: np.ndarray, terminals: int):
@@ -119,10 +140,7 @@ def to_file(part: int, seq: int, doc_ids: list, ids: list[bytes], terminals: int
     n = np.array([len(x) // 4 for x in ids], np.int64)
     whole = np.frombuffer(b"".join(ids), "<u4")
     terminals = max(terminals, int(whole.max(initial=0)) + 1)
-    last = np.zeros(len(whole), bool)
-    last[np.cumsum(n) - 1] = True
-    symbols, last, rules = compress(whole, last, terminals=terminals, **options)
-    ends = np.flatnonzero(last) + 1
+    symbols, ends, rules = compress(whole, np.cumsum(n), terminals=terminals, **options)
     firsts = np.concatenate([[0], ends[:-1]])
     _, _, sizes = expansions(rules, terminals)
     width = "<u2" if terminals + len(rules) <= 1 << 16 else "<u4"
