@@ -53,7 +53,9 @@ class Encoder:
         self.by_piece = steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and splits[0]["invert"]
         if self.by_piece:
             self.parts = regex.compile(splits[0]["pattern"]["Regex"]).findall
-            self.special = [x["content"] for x in file["added_tokens"]]
+            special = [re.escape(x["content"]) for x in file["added_tokens"]]
+            self.special = re.compile("|".join(special) or "(?!)").search
+            self.words_stay_whole = self.parts("aéz") == ["aéz"] and not any(x["content"].isalpha() for x in file["added_tokens"])
             self.model = self.tokenizer.model
         self.known, self.store, self.part_store = known, {}, {}
 
@@ -82,26 +84,31 @@ class Encoder:
         if len(store) + len(new) > self.known:
             store.clear()
             new = words
+        piece, part = self._piece, self._part
         for w in new:
-            store[w] = self._piece(w)
+            # most pieces are one word, or a word and a sign behind it
+            if self.words_stay_whole and w.isalpha() and _SIMPLE.fullmatch(w):
+                store[w] = part(w)
+            else:
+                store[w] = piece(w)
         get = store.__getitem__
         return [b"".join(map(get, x)) for x in group]
 
     def _piece(self, piece: str) -> bytes:
         if not piece:
             return b""
-        if not _SIMPLE.fullmatch(piece) or any(x in piece for x in self.special):
+        if not _SIMPLE.fullmatch(piece) or self.special(piece):
             return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        store, out = self.part_store, []
-        for part in self.parts(piece):
-            ids = store.get(part)
-            if ids is None:
-                if len(store) >= self.known:
-                    store.clear()
-                mapped = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LEVEL)
-                store[part] = ids = array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self._part, self.parts(piece)))
+
+    def _part(self, part: str) -> bytes:
+        ids = self.part_store.get(part)
+        if ids is None:
+            if len(self.part_store) >= self.known:
+                self.part_store.clear()
+            mapped = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LEVEL)
+            self.part_store[part] = ids = array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
+        return ids
 
 
 _OPEN: dict[str, Encoder] = {}
