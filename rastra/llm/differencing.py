@@ -42,9 +42,9 @@ def difference(partials: list[list[tuple[int, object]]], shards: int) -> list[tu
         spare = shards - len(a)
         if len(b) <= spare:
             c = a + b
-        else:  # b's largest meet a's smallest
-            c = list(a) + b[len(b) - spare :] if spare else list(a)
-            rest = b[: len(b) - spare]
+        else:  # b's largest meet a's smallest, and those are the empty ones
+            c = list(a) + b[:spare]
+            rest = b[spare:]
             for k, (size, node) in enumerate(rest):
                 at = len(a) - 1 - k
                 c[at] = (c[at][0] + size, (c[at][1], node))
