@@ -28,6 +28,8 @@ BUCKETS, DIM, MAX_ROWS = 1 << 17, 8, 2400
 _LETTER = re.compile(r"[^\W\d_]")
 _BYTES = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _GAP = b"    "
+#: Weights stay within these bounds, so that languages which can't be told apart don't make them diverge.
+_LIMIT = 20.0
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -116,9 +118,9 @@ def train(bags: list[tuple[str, np.ndarray, np.ndarray]], *, epochs: int = 12, r
             p /= p.sum()
             p[y[k]] -= 1
             back = soft @ p
-            soft -= step * np.outer(mean, p)
+            soft = np.clip(soft - step * np.outer(mean, p), -_LIMIT, _LIMIT)
             bias -= 0.1 * step * p
-            emb[at] -= 50 * step * share[:, None] * back
+            emb[at] = np.clip(emb[at] - 50 * step * share[:, None] * back, -_LIMIT, _LIMIT)
             seen[at] = True
     emb[~seen] = 0
     table = (emb @ soft).astype(np.float32)
