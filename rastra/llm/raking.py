@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import storage
 
 DIMENSIONS = ("source", "lang", "topic")
+#: The probabilities of up to so many cells (not documents) are broadcast; beyond that a shuffle join.
+SMALL_CELLS = 200_000
 
 
 def topic_of(text: Column) -> Column:
@@ -53,10 +55,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], *, rounds: int = 30, t
         for d in dims:
             t = targets[d].select(F.col(d).alias("__d"), F.col("share").alias("__share"))
             sums = now.groupBy(F.col(d).alias("__k")).agg(F.sum("weight").alias("__sum"))
-            factor = sums.join(t, F.col("__k").eqNullSafe(F.col("__d")), "left").select("__k", F.coalesce(F.try_divide("__share", "__sum"), F.lit(0.0)).alias("__f"), "__sum", "__share")
-            now = now.join(factor, F.col(d).eqNullSafe(F.col("__k"))).withColumns({"weight": F.col("weight") * F.col("__f"), f"__off_{d}": F.abs(F.col("__f") - 1)}).drop("__k", "__f", "__sum", "__share")
+            factor = sums.join(t.hint("merge"), F.col("__k").eqNullSafe(F.col("__d")), "left").select("__k", F.coalesce(F.try_divide("__share", "__sum"), F.lit(0.0)).alias("__f"))
+            scaled = now.join(factor.hint("merge"), F.col(d).eqNullSafe(F.col("__k"))).withColumns({"weight": F.col("weight") * F.col("__f"), f"__off_{d}": F.abs(F.col("__f") - 1)}).drop("__k", "__f")
+            now = scaled.checkpoint()  # else the next dimension's sums would compute this one again
             off.append(f"__off_{d}")
-        now = now.checkpoint()
         worst = now.agg(F.max(F.when(F.col("weight") > 0, F.greatest(*off))).alias("w")).first()["w"]
         now = now.drop(*off)
         if turn and (worst is None or worst < tolerance):
@@ -72,6 +74,7 @@ def mix(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, power:
     topic = topic if topic is not None else topic_of(text)
     docs = docs.select(*[c for c in docs.columns if c not in new], topic.alias("topic"), tokens_of(text).alias("tokens"))
     cells = docs.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")).checkpoint()
+    few = cells.count() <= SMALL_CELLS
     some = cells.where("tokens > 0")
     found = {d: (targets or {}).get(d) or tempered(some, d, power).checkpoint() for d in DIMENSIONS}
     raked = rake(some, found, tolerance=tolerance)
@@ -83,7 +86,6 @@ def mix(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, power:
     per_cell = ratio.join(F.broadcast(scale), F.lit(True)).select(  # scale is one row
         *[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.least(F.lit(1.0), F.col("ratio") * F.col("scale")).alias("__p")
     ).checkpoint()
-    few = per_cell.count() <= 200_000  # cells, not documents; beyond that a shuffle join
     on = [F.col(d).eqNullSafe(F.col(f"__{d}")) for d in DIMENSIONS]
     out = docs.join(F.broadcast(per_cell) if few else per_cell, on, "left").drop(*[f"__{d}" for d in DIMENSIONS])
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(str(seed)))), 1, 13), 16, 10).cast("double") / float(16**13)
