@@ -31,8 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that tokens follow the tempered source, language and topic marginals."""
-    return raking.mix(docs.select(COLUMNS)).where("sampled").select(COLUMNS)
+    """A fixed share of all tokens, sampled so that they follow the tempered source, language and topic marginals."""
+    return raking.mix(docs.select(COLUMNS), rate=raking.PRODUCTION_RATE).where("sampled").select(COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ def op6_repair_token_files(spark, sf_dir):
 
 
 def op7_raking_mix(spark, sf_dir):
-    return raking.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", "probability", "sampled")
+    return raking.mix(_table(spark, sf_dir, "documents"), rate=raking.PRODUCTION_RATE).select("doc_id", "source", "lang", "topic", "tokens", "probability", "sampled")
 
 
 def op8_language_id(spark, sf_dir):

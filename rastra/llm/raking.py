@@ -2,9 +2,13 @@
 
 Token counts are summed by source, language and topic (cells).  Raking scales the cells to each of the three
 target marginals in turn until no marginal is off by more than ``tolerance`` of all tokens.  A cell's
-weight over its tokens, relative to the largest such ratio or to a token budget, is the probability with
-which each of its documents is kept; the draw is a hash of doc_id, so it can be repeated and joined by
-any task.
+weight over its tokens, times one scale, is the probability with which each of its documents is kept; the
+draw is a hash of doc_id, so it can be repeated and joined by any task.
+
+The scale meets a token budget, stated as such or as a ``rate`` of the input's tokens: cells that cannot
+supply their part are kept whole, and the others share what is missing by weight.  So rare cells do not
+set the size of the sample.  With neither, the scale is the largest that keeps no cell whole beyond its
+weight (the targets are met exactly, however small the sample).
 
 Defined results: null source, language or topic is a category of its own, written as a null; a null text has no tokens
 and gets its cell's probability; cells without tokens get probability 1; documents repeated with one doc_id
@@ -21,6 +25,8 @@ from . import storage
 DIMENSIONS = ("source", "lang", "topic")
 #: The probabilities of up to so many cells (not documents) are broadcast; beyond that a shuffle join.
 SMALL_CELLS = 200_000
+#: The share of the input's tokens that the query and the pipeline keep.
+PRODUCTION_RATE = 0.25
 
 
 def topic_of(text: Column) -> Column:
@@ -66,8 +72,28 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], *, rounds: int = 30, t
     return now
 
 
-def mix(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, power: float = 0.7, budget_tokens: float | None = None, topic: Column | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 1e-4) -> DataFrame:
-    """``docs`` with topic, tokens, probability and sampled."""
+def scale_to(ratio: DataFrame, budget: float) -> float:
+    """The scale at which cells (tokens, weight, ratio), none beyond its tokens, hold ``budget`` tokens together.
+
+    Each turn finds the cells that cannot supply their part and deals the rest of the budget among the others.
+    The scale only rises and the cells kept whole only grow in number, so this ends."""
+    scale, before = 0.0, -1
+    while True:
+        whole = F.col("ratio") * scale >= 1
+        row = ratio.where("weight > 0").agg(
+            F.count_if(whole).alias("n"), F.sum(F.when(whole, F.col("tokens"))).alias("kept"), F.sum(F.when(~whole, F.col("weight"))).alias("open")
+        ).first()
+        if row["n"] == before:
+            return scale
+        if not row["open"]:  # even all that there is does not exceed the budget
+            return float("inf") if row["n"] else 0.0
+        scale, before = max(scale, (budget - (row["kept"] or 0)) / row["open"]), row["n"]
+
+
+def mix(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, power: float = 0.7, budget_tokens: float | None = None, rate: float | None = None, topic: Column | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 1e-4) -> DataFrame:
+    """``docs`` with topic, tokens, probability and sampled; at most one of ``budget_tokens`` and ``rate``."""
+    if budget_tokens is not None and rate is not None:
+        raise ValueError("state a budget or a rate, not both")
     storage.shared_dir(docs.sparkSession)
     new = {"topic", "tokens", "probability", "sampled"}
     text = F.col(text_col)
@@ -79,12 +105,14 @@ def mix(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, power:
     found = {d: (targets or {}).get(d) or tempered(some, d, power).checkpoint() for d in DIMENSIONS}
     raked = rake(some, found, tolerance=tolerance)
     ratio = raked.withColumn("ratio", F.col("weight") / F.col("tokens"))
+    if rate is not None:
+        budget_tokens = rate * (some.agg(F.sum("tokens")).first()[0] or 0)
     if budget_tokens is None:
         scale = ratio.agg((1 / F.max("ratio")).alias("scale"))
     else:
-        scale = ratio.agg((F.lit(float(budget_tokens)) / F.sum("weight")).alias("scale"))
+        scale = docs.sparkSession.range(1).select(F.lit(scale_to(ratio, float(budget_tokens))).alias("scale"))
     per_cell = ratio.join(F.broadcast(scale), F.lit(True)).select(  # scale is one row
-        *[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.least(F.lit(1.0), F.col("ratio") * F.col("scale")).alias("__p")
+        *[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.when(F.col("ratio") > 0, F.least(F.lit(1.0), F.col("ratio") * F.col("scale"))).otherwise(0.0).alias("__p")
     ).checkpoint()
     on = [F.col(d).eqNullSafe(F.col(f"__{d}")) for d in DIMENSIONS]
     out = docs.join(F.broadcast(per_cell) if few else per_cell, on, "left").drop(*[f"__{d}" for d in DIMENSIONS])
