@@ -87,7 +87,10 @@ def search(tree: BallTree, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids:
             at = need[i]
             s = np.concatenate([best[at][0], score[i, hit[i]].astype(np.int64)])
             d = np.concatenate([best[at][1], ids[rows[hit[i]]]])
-            keep = np.lexsort((d, -s))[:k]
+            keep = np.lexsort((d, -s))
+            if repeated:  # each id once, at its best score
+                keep = keep[np.sort(np.unique(d[keep], return_index=True)[1])]
+            keep = keep[:k]
             best[at] = s[keep], d[keep]
             if len(keep) == k:
                 least[at] = max(least[at], s[keep[-1]])
@@ -198,7 +201,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_mod: int = 50, *, id_col: str =
     spark = vectors.sparkSession
     packed = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
     packed = storage.written(packed.mapInArrow(_pack(shard_rows, query_mod), "kind int, dim int, k long, ids binary, x binary"), "balltree")
-    shards = packed.where("kind = 0").withColumn("shard", F.xxhash64("dim", "k", F.crc32("ids")))
+    shards = packed.where("kind = 0").withColumn("shard", F.xxhash64("dim", "ids", "x"))  # blocks of equal ids may hold other vectors
     queries = packed.where("kind = 1").withColumn("least", F.lit(None).cast("binary"))
     names = ["shard", "kind", "dim", "k", "ids", "x", "least"]
 
@@ -214,6 +217,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_mod: int = 50, *, id_col: str =
     first = queries.withColumn("shard", F.xxhash64("dim", "k", F.lit(1)))
     copies = first.select("dim", F.col("shard").alias("to")).join(seed, "dim").withColumn("shard", F.col("to")).withColumn("least", F.lit(None).cast("binary")).select(names)
     begun = copies.unionByName(first.withColumn("kind", F.lit(1)).select(names)).repartition(storage.partitions(spark), "shard").sortWithinPartitions("shard", "kind", "k").mapInArrow(_search(k), _FOUND)
+    begun = begun.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # query rows may repeat as well
     begun = begun.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("least")).where(F.col("n") >= k)
     at = queries.select("k", "dim", F.explode(F.udf(lambda b: np.frombuffer(b, "<i8").tolist(), "array<long>")("ids")).alias("query_id"))
     bounded = _with_least(queries, at.join(begun, "query_id").select("k", "dim", "query_id", "least").toDF("of", "size", "query_id", "least"))
