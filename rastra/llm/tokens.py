@@ -69,7 +69,10 @@ class Encoder:
         for text in texts:
             text = text or ""
             if not _NOT_SIMPLE.search(text):
-                text = text.lower()
+                low = text.lower()
+                # special tokens match the raw text: one that only lower-casing would make is none
+                if low == text or not self.special(low):
+                    text = low
             group.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
             chars += len(text)
             if chars >= GROUP_CHARS:

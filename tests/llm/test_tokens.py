@@ -43,3 +43,12 @@ def test_file_of_another_kind_is_encoded_whole():
     whole = Tokenizer.from_file(other)
     texts = ["two words", " lead", "a\nb"]
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.Encoder(other).encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_special_tokens_in_other_case_are_plain_text():
+    special = [x for x in ENCODER.tokenizer.get_added_tokens_decoder().values()]
+    assert special
+    texts = [f(x.content) for x in special for f in (str.upper, str.title, str.swapcase, str)]
+    texts += [f"See {x} HERE, and{x}there" for x in texts] + ["<|ENDOFTEXT|> <|endoftext|> Été", "<|StartOfText|>", "see <|ENDOFTEXT|> here"]
+    assert ours(texts) == [direct(x) for x in texts]
+    assert ours(texts[-1:]) == [[862, 27, 347, 40786, 4160, 91, 285, 763]]
