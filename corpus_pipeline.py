@@ -19,15 +19,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one of smallest doc_id.  Rows that repeat it go too."""
-    classes = order_minhash.near_duplicates(docs, 0.8)
-    gone = classes.where("not kept").select("doc_id")
-    rest = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return rest
-    again = rest.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("s"))
-    return rest.join(repeated, "doc_id", "left_anti").unionByName(again.select("doc_id", "s.*"))
+    """One row of each class of texts stays: the one of smallest doc_id, rows without one coming last.
+
+    Every text is judged, whatever its doc_id (texts are told apart by a 64-bit hash); rows that share a
+    doc_id with other texts are rows of their own.  A null text is like no other, but for its doc_id's repeats.
+    """
+    storage.shared_dir(spark)
+    docs = docs.select(COLUMNS)
+    rows = docs.where("text is not null").withColumn("__h", F.xxhash64("text"))
+    classes = order_minhash.near_duplicates(rows, 0.8, id_col="__h").select(F.col("doc_id").alias("__h"), "class_id")
+    least = rows.groupBy("__h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id")).alias("m"))
+    first = least.join(classes, "__h").groupBy("class_id").agg(F.min(F.struct("m", "__h")).alias("s"))
+    first = first.select(F.col("s.__h").alias("__w"), F.col("s.m.doc_id").alias("__d")).checkpoint()
+    on = (F.col("__h") == F.col("__w")) & F.col("doc_id").eqNullSafe(F.col("__d"))
+    rest = rows.join(first, on, "left_semi")
+    # Rows equal in doc_id and text are left: one of them stays.
+    repeated = rows.select("doc_id", "__h").join(first, on, "left_semi").groupBy("__h").count().where("count > 1").select("__h").checkpoint()
+    again = rest.join(repeated, "__h", "left_semi").groupBy("__h").agg(F.min(F.struct(*COLUMNS)).alias("s")).select("s.*")
+    empty = docs.where("text is null")
+    named = empty.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("s")).select("s.*")
+    single = rest.join(repeated, "__h", "left_anti").select(COLUMNS)
+    return single.unionByName(again).unionByName(named).unionByName(empty.where("doc_id is null"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
