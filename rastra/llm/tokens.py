@@ -1,9 +1,9 @@
 """Exact tokenizer ids of whole texts at the speed of a dictionary.
 
-Pre-tokenisation of the supported files never joins characters across a blank, line break or tab, so
-the ids of a text are the ids of its blank-separated pieces in order.  Each distinct piece goes through
-the ``tokenizers`` library once per worker (the stores are emptied when they are full), the rest is
-look-up.  ``tests/llm/test_tokens.py`` holds this equal to encoding the texts directly.
+Pre-tokenisation of the supported files never joins characters across a blank, line break or tab, nor an
+ASCII letter and the sign or digit beside it, so the ids of a text are the ids of such pieces in order.  Each
+distinct piece goes through the ``tokenizers`` library once per worker (the stores are emptied when they are
+full), the rest is look-up.  ``tests/llm/test_tokens.py`` holds this equal to encoding the texts directly.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
 import regex
 
 #: Lower-casing before the look-up changes nothing below U+0180, save for the dotted capital I.
@@ -24,8 +26,13 @@ _PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LEVEL = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINT)}
 #: Pieces, and parts of pieces, that a worker remembers: about 200 bytes each.
 KNOWN_PIECES = 500_000
-#: Texts of at most so many characters are looked up together.
-GROUP_CHARS = 4_000_000
+#: Texts of at most so many bytes are looked up together; a longer one alone.
+GROUP_BYTES = 5_000_000
+#: Kinds of bytes: 1 blank, tab and line breaks; 2 ASCII letters; 3 other ASCII, without the apostrophe of
+#: contractions and the bar of special tokens.  Words are cut out between kinds 2 and 3; nothing joins an ASCII character to the one before it.
+_GAP = 1
+_KIND = np.array([1 if b in b" \t\n\r" else 2 if chr(b).isalpha() else 3 if 33 <= b < 127 and b not in b"'|" else 0 for b in range(128)] + [0] * 128, np.uint8)
+_BORDER = np.isin(np.arange(16), [2 * 4 + 3, 3 * 4 + 2])
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -35,9 +42,10 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """``encode(texts)`` gives for each text (None: empty) the bytes of its little-endian uint32 ids.
+    """Ids of whole texts (null: empty): ``flat(column)`` as one array with a count a text, ``encode(texts)`` as bytes each.
 
-    A new piece of simple characters is split as the file's pre-tokenizer says, and its parts, which repeat
+    A column's bytes are cut at blanks and its distinct pieces found without a loop over texts or pieces.  A
+    new piece of simple characters is split as the file's pre-tokenizer says, and its parts, which repeat
     more often than pieces, go through the library's model; any other piece goes through the whole tokenizer.
     """
 
@@ -60,46 +68,72 @@ class Encoder:
         self.known, self.store, self.part_store = known, {}, {}
 
     def encode(self, texts) -> list[bytes]:
+        ids, counts = self.flat(pa.array(texts, pa.string()))
+        ends = np.cumsum(counts)
+        return [ids[a:b].tobytes() for a, b in zip(ends - counts, ends)]
+
+    def flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of strings, and the number of ids of each text."""
         if not self.by_piece:
-            found = self.tokenizer.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)
-            return [array("I", x.ids).tobytes() for x in found]
-        out: list[bytes] = []
-        group: list[list[str]] = []
-        chars = 0
-        for text in texts:
-            text = text or ""
-            if not _NOT_SIMPLE.search(text):
-                low = text.lower()
-                # special tokens match the raw text: one that only lower-casing would make is none
-                if low == text or not self.special(low):
-                    text = low
-            group.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-            chars += len(text)
-            if chars >= GROUP_CHARS:
-                out += self._look_up(group)
-                group, chars = [], 0
-        return out + self._look_up(group)
-
-    def _look_up(self, group: list[list[str]]) -> list[bytes]:
-        store = self.store
-        words = set().union(*group)
-        new = words.difference(store)
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([x or "" for x in column.to_pylist()], add_special_tokens=False)]
+            counts = np.array([len(x) for x in found], np.int64)
+            return np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum())), counts
+        column = column.cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        ids, counts, first = [], [], 0
+        while first < len(column):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + GROUP_BYTES, "right")) - 1)
+            part, n = self._look_up(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            ids.append(part)
+            counts.append(n)
+            first = last
+        return np.concatenate(ids or [np.zeros(0, np.uint32)]), np.concatenate(counts or [np.zeros(0, np.int64)])
+
+    def _look_up(self, data: np.ndarray, offsets: np.ndarray):
+        kind = _KIND[data]
+        cut = np.zeros(len(data) + 1, bool)  # a piece begins here
+        cut[offsets] = True
+        cut[:-1] |= kind == _GAP
+        cut[1:] |= kind == _GAP
+        cut[1:-1] |= _BORDER[kind[:-1] * 4 + kind[1:]]
+        if b"<|" not in data.tobytes():  # else a token in capitals would turn into a special one
+            lower = (data - 65) < 26
+            lower[:-1] &= data[1:] < 128  # with a mark behind it, a letter may have a form of its own
+            data = np.where(lower, data + 32, data)
+        solid = kind != _GAP
+        upto = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(solid, out=upto[1:])
+        bounds = upto[cut]
+        bounds = bounds[np.r_[True, np.diff(bounds) > 0]]
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data[solid])]).dictionary_encode()
+        distinct, store = pieces.dictionary.to_pylist(), self.store
+        found = list(map(store.get, distinct))
+        new = [k for k, ids in enumerate(found) if ids is None]
         if len(store) + len(new) > self.known:
             store.clear()
-            new = words
-        piece, part = self._piece, self._part
-        for w in new:
-            # most pieces are one word, or a word and a sign behind it
-            if self.words_stay_whole and w.isalpha() and _SIMPLE.fullmatch(w):
-                store[w] = part(w)
-            else:
-                store[w] = piece(w)
-        get = store.__getitem__
-        return [b"".join(map(get, x)) for x in group]
+        for k in new:
+            found[k] = store[distinct[k]] = self._piece(distinct[k].decode("utf-8"))
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        known = np.frombuffer(b"".join(found), "<u4")
+        code = pieces.indices.to_numpy()
+        n = size[code]
+        ends = np.r_[0, np.cumsum(n)]
+        place = np.repeat((np.cumsum(size) - size)[code] - ends[:-1], n)
+        place += np.arange(len(place))
+        return known[place], np.diff(ends[np.searchsorted(bounds, upto[offsets])])
 
     def _piece(self, piece: str) -> bytes:
         if not piece:
             return b""
+        if not _NOT_SIMPLE.search(piece):
+            low = piece.lower()
+            # special tokens match the raw text: one that only lower-casing would make is none
+            if low == piece or not self.special(low):
+                piece = low
+        if self.words_stay_whole and piece.isascii() and piece.isalpha():
+            return self._tokenize(piece)
         if not _SIMPLE.fullmatch(piece) or self.special(piece):
             return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self._part, self.parts(piece)))
@@ -110,9 +144,12 @@ class Encoder:
             if len(self.part_store) >= self.known:
                 self.part_store.clear()
             mapped = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LEVEL)
-            self.part_store[part] = ids = array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
+            self.part_store[part] = ids = self._tokenize(mapped)
         return ids
 
+    def _tokenize(self, mapped: str) -> bytes:
+        return array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
+
 
 _OPEN: dict[str, Encoder] = {}
 
@@ -122,3 +159,24 @@ def encoder(path: str) -> Encoder:
     if path not in _OPEN:
         _OPEN[path] = Encoder(path)
     return _OPEN[path]
+
+
+def gathered(batches, size: int = GROUP_BYTES):
+    """Record batches joined until their bytes reach ``size``: distinct pieces are found once for all of them."""
+    held: list = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.nbytes for x in held) >= size:
+            yield _joined(held)
+            held = []
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.RecordBatch.from_arrays([pa.concat_arrays([x.column(k) for x in held]) for k in range(held[0].num_columns)], schema=held[0].schema)
+
+
+def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts with one id more behind each text."""
+    return np.insert(ids, np.cumsum(counts), np.uint32(end)), counts + 1

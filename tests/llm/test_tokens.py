@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
@@ -52,3 +53,34 @@ def test_special_tokens_in_other_case_are_plain_text():
     texts += [f"See {x} HERE, and{x}there" for x in texts] + ["<|ENDOFTEXT|> <|endoftext|> Été", "<|StartOfText|>", "see <|ENDOFTEXT|> here"]
     assert ours(texts) == [direct(x) for x in texts]
     assert ours(texts[-1:]) == [[862, 27, 347, 40786, 4160, 91, 285, 763]]
+
+
+def test_pieces_cut_within_words():
+    texts = ["it's (the-END)...x1y2 'Quoted' a|b Áb H̱ ≠ é.É »a« \U0001f600.ok", "<|ENDOFTEXT|>Word.<|endoftext|>Word", "I'LL we'VE rock'n'roll 'S"]
+    assert ours(texts) == [direct(x) for x in texts]
+    assert ours(texts * 3) == 3 * [direct(x) for x in texts]
+
+
+def test_flat_of_a_slice_with_nulls():
+    column = pa.array(["zero", "one Two", None, "", "tail end", "last"]).slice(1, 4)
+    ids, n = ENCODER.flat(column)
+    want = [direct(x) for x in column.to_pylist()]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+    ids, n = tokens.with_end(ids, n, 9)
+    assert ids.tolist() == sum([x + [9] for x in want], []) and n.tolist() == [len(x) + 1 for x in want]
+
+
+def test_repair_grammar_of_a_wide_vocabulary():
+    from rastra.llm import repair
+
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 70_000, size=(40, 5))
+    ids = words[rng.integers(0, 40, size=4000)].ravel().astype(np.uint32)
+    n = np.full(400, 50)
+    for terminals in (70_000, 65_536, 65_535, 49_408):
+        use = ids % terminals
+        shard = repair.Shard(repair.to_file(0, 0, pa.array(range(400)), use, n, terminals))
+        assert np.array_equal(shard.all_ids(), use)
+        assert np.array_equal(shard.ids(7), use[350:400])
+        # one more rule than the single free symbol of 65,535 would widen all symbols
+        assert (len(shard.rules) == 1 if terminals == 65_535 else len(shard.rules) > 40 and len(shard.symbols) < len(ids) / 3)
