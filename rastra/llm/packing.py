@@ -27,25 +27,29 @@ _STEP = 256
 def _encode(path: str, end: int):
     def run(batches):
         part, start, code = TaskContext.get().partitionId(), 0, tokens.encoder(path)
-        tail = np.array([end], "<u4").tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, _STEP):
-                piece = batch.slice(at, _STEP)
-                ids = [x + tail for x in code.encode(piece.column(1).to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], "int64")
-                starts = start + np.cumsum(n) - n
-                start += int(n.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), part, "int32")), piece.column(0), pa.array(starts), pa.array(n),
-                     pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() if _narrow(x) else b"\0" + x for x in ids], pa.binary())],
-                    ["part", "doc_id", "start", "n", "ids"],
-                )
+        for batch in tokens.gathered(batches):
+            ids, n = tokens.with_end(*code.flat(batch.column(1)), end)
+            ends = np.cumsum(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), part, "int32")), batch.column(0), pa.array(start + ends - n), pa.array(n), _packed(ids, ends - n, ends)],
+                ["part", "doc_id", "start", "n", "ids"],
+            )
+            start += len(ids)
 
     return run
 
 
-def _narrow(ids: bytes) -> bool:
-    return not np.frombuffer(ids, "<u4").max(initial=0) >> 16
+def _packed(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Each text's ids in two bytes each, or, behind a zero byte, in four; see ``_wide``."""
+    if ids.max(initial=0) >> 16:
+        return pa.array([ids[a:b].astype("<u2").tobytes() if _narrow(ids[a:b]) else b"\0" + ids[a:b].astype("<u4").tobytes() for a, b in zip(begins, ends)], pa.binary())
+    bounds = np.r_[0, 2 * ends].astype(np.int64)
+    whole = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(ids.astype("<u2"))])
+    return whole.cast(pa.binary())
+
+
+def _narrow(ids: np.ndarray) -> bool:
+    return not ids.max(initial=0) >> 16
 
 
 def _wide(ids: bytes) -> np.ndarray:
