@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from . import colours as colours_
 
 EDGE = 1e-4
 TRANSPARENT = 0
@@ -24,35 +26,30 @@ def hex_of(colour: Column) -> Column:
     return F.concat(F.lit("#"), F.lpad(F.lower(F.hex(colour)), 8, "0"))
 
 
-def ramp(colours: list[int], n: int = 256, *, reverse: bool = False, fade_in: float = 0.0, fade_out: float = 0.0) -> list[int]:
-    """``n`` colours, linear between evenly spaced ones, with alpha ramps over the first and last part."""
-    stops = colours[::-1] if reverse else colours
-    out = []
-    for k in range(n):
-        y = k / (n - 1) if n > 1 else 0.0
-        at = y * (len(stops) - 1)
-        lo = min(int(at), max(0, len(stops) - 2))
-        hi = min(lo + 1, len(stops) - 1)
-        parts = [int((stops[lo] >> s & 255) + ((stops[hi] >> s & 255) - (stops[lo] >> s & 255)) * (at - lo) + 0.5) for s in (24, 16, 8, 0)]
-        if fade_in and y < fade_in:
-            parts[3] = int(parts[3] * y / fade_in + 0.5)
-        if fade_out and y > 1 - fade_out:
-            parts[3] = int(parts[3] * (1 - y) / fade_out + 0.5)
-        out.append(parts[0] << 24 | parts[1] << 16 | parts[2] << 8 | parts[3])
-    return out
+def preset(name: str, n: int = 256) -> list[int]:
+    """A built-in map by name, in any case; ``_r`` behind the name reverses it."""
+    return colours_.by_name(name, n)
+
 
+def ramp(colours: list[int], n: int = 256, *, reverse: bool = False, fade_in: float = 0.0, fade_out: float = 1.0) -> list[int]:
+    """``n`` colours, linear between evenly spaced ones, with alpha ramps over the first part and from ``fade_out`` on."""
+    out = colours_.even(colours, n)
+    return colours_.faded(out[::-1] if reverse else out, fade_in, fade_out)
 
-#: End colours of the built-in ramps.
-PRESETS = {"gray": ["#000000", "#ffffff"], "reds": ["#fff5f0", "#fb6a4a", "#67000d"], "blues": ["#f7fbff", "#6baed6", "#08306b"], "greens": ["#f7fcf5", "#74c476", "#00441b"],
-           "bluered": ["#0000ff", "#ff0000"], "heat": ["#000000", "#ff0000", "#ffff00", "#ffffff"], "traffic": ["#1a9850", "#ffffbf", "#d73027"]}
 
+def sampled(spark, legend, lo: float, hi: float, n: int = 256) -> DataFrame:
+    """A legend's colours in order: ``n`` evenly spaced values (k, value, colour); ``legend`` maps a column to colours."""
+    value = F.lit(float(lo)) + (F.lit(float(hi)) - F.lit(float(lo))) * (F.col("id") / (n - 1))
+    return spark.range(n).select(F.col("id").cast("int").alias("k"), value.alias("value")).withColumn("colour", legend(F.col("value")))
 
-def preset(name: str, n: int = 256) -> list[int]:
-    """A built-in ramp by name, in any case; ``_r`` behind the name reverses it."""
-    base = name.lower().removesuffix("_r")
-    if base not in PRESETS:
-        raise ValueError(f"no colour map named {name}")
-    return ramp([rgba(c) for c in PRESETS[base]], n, reverse=name.lower().endswith("_r"))
+
+def entries(spark, bands: list[tuple[float, float, int]]) -> DataFrame:
+    """The bands of a legend as rows (start, end, colour)."""
+    return spark.createDataFrame([(float(a), float(b), int(c)) for a, b, c in bands], "start double, end double, colour long")
+
+
+def value_range(bands: list[tuple[float, float, int]]) -> tuple[float, float]:
+    return min(a for a, _, _ in bands), max(b for _, b, _ in bands)
 
 
 def _mappable(value: Column, zero_is_nodata: bool) -> Column:

@@ -2,8 +2,9 @@
 
 A cell's label is (cost, tag), the least over all paths from seeds; equal costs go to the smaller tag.
 A tile holds its cells and a halo as wide as the longest step.  Each round only tiles that got a message
-relax again; a round is one shuffle by tile, cut off by a checkpoint.  Rounds are bounded by the
-tiles along the longest path, and no task holds more than a tile.
+relax again: a round shuffles and writes their states and the messages, and nothing of the other tiles, whose
+states stay in the tables of earlier rounds.  A small table says in which round each tile was last written.  Rounds
+are bounded by the tiles along the longest path, and no task holds more than a tile.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import io
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -91,6 +93,21 @@ def _messages(key, size: int, halo: int, a: dict, before: tuple[np.ndarray, np.n
                 yield raster, tr + dr, tc + dc, False, _pack(row=at[0] + tr * size, col=at[1] + tc * size, label=label[at], tag=tag[at])
 
 
+#: Tables of rounds kept before the latest states are put together, and tile keys that are broadcast (about 40 bytes each).
+_COMPACT, _KEYS = 12, 500_000
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """Tile keys, to be broadcast where they are few enough: states then stay where they are."""
+    return F.broadcast(keys) if keys.count() <= _KEYS else keys
+
+
+def _latest(log: list[DataFrame], asked: DataFrame, key: list[str]) -> DataFrame:
+    """The states of tiles (key, turn), each from the table of its turn."""
+    found = [t.join(_small(asked.where(F.col("turn") == k).select(*key)), key, "left_semi") for k, t in enumerate(log)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def propagate(cells: DataFrame, layers: list[str], cost: Cost, *, steps=STEPS, limit: float = math.inf, tile: int = TILE) -> DataFrame:
     """raster_id, row, col, label, tag of ``cells`` (raster_id, row, col, seed, tag, layers).
 
@@ -158,11 +175,21 @@ def propagate(cells: DataFrame, layers: list[str], cost: Cost, *, steps=STEPS, l
     dealt = cells.withColumn("tag", tag).withColumn("tr", tiles("row")).withColumn("tc", tiles("col"))
     key = ["raster_id", "tr", "tc"]
     now = checkpointed(dealt.select(*key, "row", "col", "seed", "tag", *layers).groupBy(*key).applyInPandas(build, _STATE))
-    while not now.where("not state").isEmpty():
-        now = checkpointed(now.groupBy(*key).applyInPandas(step, _STATE))
-    states = now.where("state")
+    log, current = [now.where("state")], checkpointed(now.where("state").select(*key, F.lit(0).alias("turn")))
+    while True:
+        told = now.where("not state")
+        # Messages to places beyond the raster find no tile.
+        asked = checkpointed(told.select(*key).distinct().join(current, key))
+        if asked.isEmpty():
+            break
+        now = checkpointed(_latest(log, asked, key).unionByName(told.join(_small(asked.select(*key)), key, "left_semi")).groupBy(*key).applyInPandas(step, _STATE))
+        log.append(now.where("state"))
+        written = asked.select(*key, F.lit(len(log) - 1).alias("new"))
+        current = checkpointed(current.join(written, key, "left").select(*key, F.coalesce("new", "turn").alias("turn")))
+        if len(log) == _COMPACT:  # a plan reads no more than so many tables
+            log, current = [checkpointed(_latest(log, current, key))], checkpointed(current.select(*key, F.lit(0).alias("turn")))
     # one tile at a time: a blob is some MB
-    out = states.groupBy(*key).applyInPandas(lambda f: pd.concat(list(finish([f]))), "raster_id string, row int, col int, label double, tag long")
+    out = _latest(log, current, key).groupBy(*key).applyInPandas(lambda f: pd.concat(list(finish([f]))), "raster_id string, row int, col int, label double, tag long")
     return out.withColumn("tag", F.when(F.col("tag") >= 0, F.col("tag")))
 
 

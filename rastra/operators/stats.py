@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
+
+from ..session import checkpointed
 
 
 def _checked(qs: list[float]) -> Column:
@@ -12,26 +15,47 @@ def _checked(qs: list[float]) -> Column:
 
 
 def quantiles(cells: DataFrame, qs: list[float], *, approximate: bool = False) -> DataFrame:
-    """Linear interpolation at q (n - 1); ``approximate`` bounds the memory of a single huge raster."""
-    f = F.percentile_approx("value", _checked(qs), 100_000).cast("array<double>") if approximate else F.percentile("value", _checked(qs))
-    return cells.groupBy("raster_id").agg(f.alias("quantiles"))
+    """(raster_id, quantiles): linear interpolation at q (n - 1).
+
+    Exact ones are found without a task that holds a raster: values are counted, the counts dealt by ranges of value,
+    and summed up over the ranges; a quantile is the least value whose running count reaches its rank.
+    ``approximate`` needs one pass only.
+    """
+    if approximate:
+        return cells.groupBy("raster_id").agg(F.percentile_approx("value", _checked(qs), 100_000).cast("array<double>").alias("quantiles"))
+    _checked(qs)
+    counted = cells.where("value is not null").groupBy("raster_id", "value").agg(F.count("*").alias("__n"))
+    placed = checkpointed(counted.repartitionByRange("raster_id", "value").withColumn("__p", F.spark_partition_id()))
+    parts = placed.groupBy("raster_id", "__p").agg(F.sum("__n").alias("__n"))  # a row for each raster and partition
+    before = Window.partitionBy("raster_id").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select("raster_id", "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    total = parts.groupBy("raster_id").agg(F.sum("__n").alias("__all"))
+    inner = Window.partitionBy("raster_id", "__p").orderBy("value")
+    ranked = placed.withColumn("__upto", F.sum("__n").over(inner)).join(base, ["raster_id", "__p"]).join(total, "raster_id")
+    upto = F.col("__base") + F.col("__upto")
+    place = [F.lit(float(q)) * (F.col("__all") - 1) for q in qs]
+    least = lambda rank: F.min(F.when(upto >= rank + 1, F.col("value")))
+    ends = ranked.groupBy("raster_id").agg(F.max("__all").alias("__all"), *[f for k, p in enumerate(place) for f in (least(F.floor(p)).alias(f"__a{k}"), least(F.ceil(p)).alias(f"__b{k}"))])
+    between = [F.col(f"__a{k}") + (F.col(f"__b{k}") - F.col(f"__a{k}")) * (p - F.floor(p)) for k, p in enumerate(place)]
+    return cells.select("raster_id").distinct().join(ends, "raster_id", "left").select("raster_id", F.when(F.col("__all").isNotNull(), F.array(*between)).alias("quantiles"))
 
 
 def quantiles_neg_pos(cells: DataFrame, qs: list[float]) -> DataFrame:
+    """(raster_id, negative, positive): quantiles of the values below zero and of the others."""
     v = F.col("value")
-    return cells.groupBy("raster_id").agg(
-        F.percentile(F.when(v < 0, v), _checked(qs)).alias("negative"), F.percentile(F.when(v >= 0, v), _checked(qs)).alias("positive")
-    )
+    part = lambda keep, name: quantiles(cells.withColumn("value", F.when(keep, v)), qs).withColumnRenamed("quantiles", name)
+    return part(v < 0, "negative").join(part(v >= 0, "positive"), "raster_id")
 
 
 def statistics(cells: DataFrame, qs: list[float]) -> DataFrame:
-    """One pass: min, max, mean, median, population deviation, quantiles, counts and sum."""
+    """min, max, mean, median, population deviation, quantiles, counts and sum of each raster."""
     v = F.col("value")
-    return cells.groupBy("raster_id").agg(
-        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("stddev"),
-        F.percentile(v, _checked(qs)).alias("quantiles"), F.count(v).alias("data_count"), F.count_if(v.isNull()).alias("nodata_count"),
-        F.coalesce(F.sum(v), F.lit(0.0)).alias("sum"),
+    simple = cells.groupBy("raster_id").agg(
+        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"),
+        F.count(v).alias("data_count"), F.count_if(v.isNull()).alias("nodata_count"), F.coalesce(F.sum(v), F.lit(0.0)).alias("sum"),
     )
+    ranks = quantiles(cells, [0.5, *qs]).select("raster_id", F.col("quantiles")[0].alias("median"), F.expr(f"slice(quantiles, 2, {len(qs)})").alias("quantiles"))
+    return simple.join(ranks, "raster_id")
 
 
 def min_max(cells: DataFrame) -> DataFrame:

@@ -3,6 +3,6 @@
 
 def load():
     """The registry, with all modules that add to it imported."""
-    from . import queries, registry  # noqa: F401
+    from . import more_queries, queries, registry  # noqa: F401
 
     return registry

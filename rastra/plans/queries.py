@@ -110,7 +110,7 @@ def cast_u8(spark, sf):
 
 @query("replace_value", cells_sql("CASE WHEN v = 1 THEN 9 ELSE v END", "landuse"))
 def replace_value(spark, sf):
-    return out(A.replace_value(G.landuse(spark), 1, 9))
+    return out(A.replace_value(G.landuse(spark, sf), 1, 9))
 
 
 @query("replace_nodata", cells_sql("coalesce(v, -1)"))
@@ -120,7 +120,7 @@ def replace_nodata(spark, sf):
 
 @query("value_to_nodata", cells_sql("nullif(v, 0)", "landuse"))
 def value_to_nodata(spark, sf):
-    return out(A.value_to_nodata(G.landuse(spark), 0))
+    return out(A.value_to_nodata(G.landuse(spark, sf), 0))
 
 
 @query("is_data_mask", cells_sql("CASE WHEN v IS NULL THEN 0 ELSE 1 END"))
@@ -135,12 +135,12 @@ def is_nodata_mask(spark, sf):
 
 @query("filter_value", cells_sql("CASE WHEN v = 2 THEN v END", "landuse"))
 def filter_value(spark, sf):
-    return out(A.filter_values(G.landuse(spark), [2]))
+    return out(A.filter_values(G.landuse(spark, sf), [2]))
 
 
 @query("filter_values", cells_sql("CASE WHEN v IN (1, 3) THEN v END", "landuse"))
 def filter_values(spark, sf):
-    return out(A.filter_values(G.landuse(spark), [1, 3]))
+    return out(A.filter_values(G.landuse(spark, sf), [1, 3]))
 
 
 _SCALE = "lim AS (SELECT min(v) AS lo, max(v) AS hi FROM demand), sc AS (SELECT r, c, lo, CASE WHEN hi = lo THEN 1.0 ELSE (hi - lo) / 254 END AS s, v FROM demand, lim)"
@@ -169,7 +169,7 @@ def region_read(spark, sf):
 @query("crop", sql("""SELECT r - r0 AS "row", c - c0 AS "col", CASE WHEN r > 9 AND c > 4 AND r < 50 THEN v END AS value FROM landuse,
   (SELECT min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM landuse WHERE r > 9 AND c > 4 AND r < 50) WHERE r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1"""))
 def crop(spark, sf):
-    return out(A.crop(A.with_value(G.landuse(spark), F.when((F.col("row") > 9) & (F.col("col") > 4) & (F.col("row") < 50), F.col("value")))))
+    return out(A.crop(A.with_value(G.landuse(spark, sf), F.when((F.col("row") > 9) & (F.col("col") > 4) & (F.col("row") < 50), F.col("value")))))
 
 
 @query("raster_diff", sql(f"""SELECT r AS "row", c AS "col", x AS "left", y AS "right", CASE WHEN (x IS NULL) <> (y IS NULL) THEN 'nodata' ELSE 'data' END AS kind FROM {PAIR} WHERE x IS DISTINCT FROM y"""))
@@ -179,7 +179,7 @@ def raster_diff(spark, sf):
 
 @query("diff_summary", sql("""SELECT 'r' AS raster_id, count(*) FILTER (a.v IS NOT DISTINCT FROM b.v) AS matches, count(*) FILTER ((a.v IS NULL) <> (b.v IS NULL)) AS nodata_mismatches, count(*) FILTER (a.v <> b.v) AS data_mismatches FROM landuse a JOIN items b ON a.id = b.id"""))
 def diff_summary(spark, sf):
-    return A.diff_summary(G.landuse(spark), G.items(spark))
+    return A.diff_summary(G.landuse(spark, sf), G.items(spark, sf))
 
 
 @query("tile_mosaic", cells_sql("coalesce(y, x)", PAIR))
@@ -189,8 +189,8 @@ def tile_mosaic(spark, sf):
 
 # ---- colours
 
-RAMP = legends.preset("heat", 16)
-BANDS = legends.equal_bands(0.0, 800.0, legends.preset("traffic", 10))
+RAMP = legends.preset("hot", 16)
+BANDS = legends.equal_bands(0.0, 800.0, legends.preset("rdylgn", 10))
 _LIST = "[" + ", ".join(map(str, RAMP)) + "]"
 
 
@@ -215,7 +215,7 @@ def demand_colored(spark, sf):
 
 @query("legend_categoric", sql("""SELECT r AS "row", c AS "col", CASE v WHEN 1 THEN 11 WHEN 2 THEN 22 ELSE 0 END::BIGINT AS colour FROM landuse"""))
 def legend_categoric(spark, sf):
-    return G.landuse(spark).select("row", "col", legends.categoric(F.col("value"), {1: 11, 2: 22}, zero_is_nodata=True).alias("colour"))
+    return G.landuse(spark, sf).select("row", "col", legends.categoric(F.col("value"), {1: 11, 2: 22}, zero_is_nodata=True).alias("colour"))
 
 
 @query("legend_string", """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 255 WHEN 'O' THEN 4095 ELSE 0 END::BIGINT AS colour FROM orders""")
@@ -333,7 +333,7 @@ def warp_nearest(spark, sf):
 
 @query("distance_octile", sql("""SELECT g.r AS "row", g.c AS "col", round(min(greatest(abs(g.r - t.r), abs(g.c - t.c)) + (sqrt(2) - 1) * least(abs(g.r - t.r), abs(g.c - t.c))) * 100, 4) AS value FROM g, targets t WHERE t.v <> 0 GROUP BY 1, 2"""))
 def distance_octile(spark, sf):
-    return out(D.distance(G.targets(spark), 100.0), 4)
+    return out(D.distance(G.targets(spark, sf), 100.0), 4)
 
 
 def _shortest(edges: str, seeds: str = "SELECT id, CASE WHEN v <> 0 THEN 0.0 ELSE 1e9 END::DOUBLE FROM targets") -> str:
@@ -343,14 +343,14 @@ def _shortest(edges: str, seeds: str = "SELECT id, CASE WHEN v <> 0 THEN 0.0 ELS
 @query("distance_obstacles", sql('SELECT g.r AS "row", g.c AS "col", CASE WHEN d < 1e8 THEN round(d * 10, 4) END AS value FROM dd JOIN g USING (id)',
        _shortest("SELECT e8.s, e8.t, e8.d AS w FROM e8 JOIN obstacles o ON o.id = e8.t AND o.v = 0 JOIN obstacles a ON a.id = e8.p JOIN obstacles b ON b.id = e8.q WHERE e8.dr = 0 OR e8.dc = 0 OR a.v = 0 OR b.v = 0")))
 def distance_obstacles(spark, sf):
-    found = D.distance_with_obstacles(G.targets(spark), G.obstacles(spark), 10.0)
+    found = D.distance_with_obstacles(G.targets(spark, sf), G.obstacles(spark, sf), 10.0)
     return out(A.with_value(found, F.when(F.col("value") < 1e8, F.col("value"))), 4)
 
 
 @query("distance_obstacles_diagonal", sql('SELECT g.r AS "row", g.c AS "col", CASE WHEN d < 1e8 THEN round(d * 10, 4) END AS value FROM dd JOIN g USING (id)',
        _shortest("SELECT e8.s, e8.t, e8.d AS w FROM e8 JOIN obstacles o ON o.id = e8.t AND o.v = 0")))
 def distance_obstacles_diagonal(spark, sf):
-    found = D.distance_with_obstacles(G.targets(spark), G.obstacles(spark), 10.0, diagonals=True)
+    found = D.distance_with_obstacles(G.targets(spark, sf), G.obstacles(spark, sf), 10.0, diagonals=True)
     return out(A.with_value(found, F.when(F.col("value") < 1e8, F.col("value"))), 4)
 
 
@@ -361,7 +361,7 @@ _PASSABLE = "SELECT t.id, CASE WHEN t.v <> 0 AND w.v IS NOT NULL THEN 0.0 ELSE 1
 
 @query("travel_distance", sql('SELECT g.r AS "row", g.c AS "col", CASE WHEN w.v IS NOT NULL AND dd.d < 1e8 THEN round(dd.d, 4) END AS value FROM dd JOIN g USING (id) JOIN weight w USING (id)', _shortest(_MEAN, _PASSABLE)))
 def travel_distance(spark, sf):
-    found = D.travel_distance(G.targets(spark), G.weight(spark))
+    found = D.travel_distance(G.targets(spark, sf), G.weight(spark, sf))
     return out(A.with_value(found, F.when(F.col("value") < 1e8, F.col("value"))), 4)
 
 
@@ -370,12 +370,12 @@ _NEAREST = """near AS (SELECT g.id, g.r, g.c, t.id AS tid, t.v, row_number() OVE
 
 @query("closest_target", sql('SELECT r AS "row", c AS "col", v AS value FROM near WHERE k = 1', _NEAREST))
 def closest_target(spark, sf):
-    return out(D.closest_target(G.targets(spark)))
+    return out(D.closest_target(G.targets(spark, sf)))
 
 
 @query("value_at_closest", sql('SELECT near.r AS "row", near.c AS "col", l.v AS value FROM near JOIN landuse l ON l.id = near.tid WHERE k = 1', _NEAREST))
 def value_at_closest(spark, sf):
-    return out(D.value_at_closest_target(G.targets(spark), G.landuse(spark)))
+    return out(D.value_at_closest_target(G.targets(spark, sf), G.landuse(spark, sf)))
 
 
 def _per_seed(edges: str, seeds: str, limit: float) -> str:
@@ -387,35 +387,35 @@ def _per_seed(edges: str, seeds: str, limit: float) -> str:
   LEFT JOIN (SELECT id, s, row_number() OVER (PARTITION BY id ORDER BY round(d, 6), s) AS k FROM pr) best ON best.id = g.id AND best.k = 1 LEFT JOIN landuse l ON l.id = best.s""",
        _per_seed(_ENTER, "SELECT t.id FROM targets t JOIN weight w USING (id) WHERE t.v <> 0 AND w.v IS NOT NULL", 1e9)))
 def value_at_closest_travel(spark, sf):
-    open_ = A.with_value(A.binary(G.landuse(spark), G.weight(spark), "add"), F.col("value"))
-    value = G.landuse(spark).join(open_.where("value is not null").select(*A.KEY), A.KEY, "left_semi")
+    open_ = A.with_value(A.binary(G.landuse(spark, sf), G.weight(spark, sf), "add"), F.col("value"))
+    value = G.landuse(spark, sf).join(open_.where("value is not null").select(*A.KEY), A.KEY, "left_semi")
     value = A.full_grid(spark, G.N, G.N).drop("value").join(value, A.KEY, "left")
-    return out(D.value_at_closest_travel_target(G.targets(spark), G.weight(spark), value))
+    return out(D.value_at_closest_travel_target(G.targets(spark, sf), G.weight(spark, sf), value))
 
 
 _MASK = "SELECT t.id FROM targets t JOIN weight w USING (id) WHERE t.v = 3 AND w.v IS NOT NULL"
 
 
-def _mask(spark):
-    open_ = G.weight(spark).where("value is not null").select(*A.KEY)
-    return A.filter_values(G.targets(spark), [3]).join(open_, A.KEY, "left_semi")
+def _mask(spark, sf):
+    open_ = G.weight(spark, sf).where("value is not null").select(*A.KEY)
+    return A.filter_values(G.targets(spark, sf), [3]).join(open_, A.KEY, "left_semi")
 
 
 @query("sum_within_travel", sql('SELECT g.r AS "row", g.c AS "col", round(sum(l.v), 4) AS value FROM pr JOIN g ON g.id = pr.s JOIN landuse l ON l.id = pr.id GROUP BY 1, 2', _per_seed(_MEAN, _MASK, 12.0)))
 def sum_within_travel(spark, sf):
-    return out(D.sum_within_travel_distance(_mask(spark), G.weight(spark), G.landuse(spark), 12.0), 4)
+    return out(D.sum_within_travel_distance(_mask(spark, sf), G.weight(spark, sf), G.landuse(spark, sf), 12.0), 4)
 
 
 @query("sum_within_travel_adjacent", sql("""SELECT g.r AS "row", g.c AS "col", round(sum(l.v), 4) AS value FROM (SELECT s, id FROM pr UNION SELECT s, t FROM pr JOIN e8 ON e8.s = pr.id WHERE dr = 0 OR dc = 0) x(s, id)
   JOIN g ON g.id = x.s JOIN landuse l ON l.id = x.id GROUP BY 1, 2""".replace("SELECT s, t FROM pr JOIN", "SELECT pr.s, e8.t FROM pr JOIN"), _per_seed(_MEAN, _MASK, 12.0)))
 def sum_within_travel_adjacent(spark, sf):
-    return out(D.sum_within_travel_distance(_mask(spark), G.weight(spark), G.landuse(spark), 12.0, adjacent=True), 4)
+    return out(D.sum_within_travel_distance(_mask(spark, sf), G.weight(spark, sf), G.landuse(spark, sf), 12.0, adjacent=True), 4)
 
 
 @query("sum_targets_within_travel", sql('SELECT g.r AS "row", g.c AS "col", round(coalesce(x.v, 0), 4) AS value FROM g LEFT JOIN (SELECT pr.id, sum(t.v) AS v FROM pr JOIN targets t ON t.id = pr.s GROUP BY 1) x USING (id)',
        _per_seed(_ENTER, "SELECT t.id FROM targets t JOIN weight w USING (id) WHERE t.v <> 0 AND w.v IS NOT NULL", 9.0)))
 def sum_targets_within_travel(spark, sf):
-    return out(D.sum_targets_within_travel_distance(G.targets(spark), G.weight(spark), 9.0), 4)
+    return out(D.sum_targets_within_travel_distance(G.targets(spark, sf), G.weight(spark, sf), 9.0), 4)
 
 
 # ---- clusters
@@ -433,17 +433,17 @@ _SAME = "SELECT s, t FROM e8 JOIN landuse a ON a.id = s JOIN landuse b ON b.id =
 
 @query("cluster_id", sql(_CLUSTER, _components(_SAME + " WHERE dr = 0 OR dc = 0", _LAND)))
 def cluster_id(spark, sf):
-    return clusters.cluster_id(G.landuse(spark)).select("row", "col", "value")
+    return clusters.cluster_id(G.landuse(spark, sf)).select("row", "col", "value")
 
 
 @query("cluster_id_diag", sql(_CLUSTER, _components(_SAME, _LAND)))
 def cluster_id_diag(spark, sf):
-    return clusters.cluster_id(G.landuse(spark), diagonals=True).select("row", "col", "value")
+    return clusters.cluster_id(G.landuse(spark, sf), diagonals=True).select("row", "col", "value")
 
 
 @query("fuzzy_cluster", sql(_CLUSTER, _components("SELECT a.id AS s, b.id AS t FROM items a JOIN items b ON b.r BETWEEN a.r - 2 AND a.r + 2 AND a.v > 0 AND b.v > 0 AND a.id <> b.id AND (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 4", "SELECT id, id FROM items WHERE v > 0")))
 def fuzzy_cluster(spark, sf):
-    return clusters.fuzzy_cluster_id(G.items(spark), 210.0, 100.0).select("row", "col", "value")
+    return clusters.fuzzy_cluster_id(G.items(spark, sf), 210.0, 100.0).select("row", "col", "value")
 
 
 _AROUND = """SELECT e8.s, e8.t FROM e8 JOIN {0} a ON a.id = e8.s JOIN {0} b ON b.id = e8.t AND a.v = b.v AND a.v > 0 JOIN obstacles oa ON oa.id = e8.s AND oa.v = 0 JOIN obstacles ob ON ob.id = e8.t AND ob.v = 0
@@ -454,12 +454,12 @@ _OPEN = "SELECT x.id, x.id FROM {0} x JOIN obstacles o USING (id) WHERE x.v > 0
 @query("cluster_obstacles", sql("""SELECT g.r AS "row", g.c AS "col", (CASE WHEN l.v > 0 AND o.v > 0 THEN coalesce(won, 0) ELSE n END)::BIGINT AS value FROM g JOIN landuse l USING (id) JOIN obstacles o USING (id) LEFT JOIN ids USING (id)
   LEFT JOIN (SELECT t, n AS won, row_number() OVER (PARTITION BY t ORDER BY count(*) DESC, n) AS k FROM e8 JOIN ids ON ids.id = e8.s GROUP BY t, n) w ON w.t = g.id AND w.k = 1""", _components(_AROUND.format("landuse"), _OPEN.format("landuse"))))
 def cluster_obstacles(spark, sf):
-    return clusters.cluster_id_with_obstacles(G.landuse(spark), G.obstacles(spark)).select("row", "col", "value")
+    return clusters.cluster_id_with_obstacles(G.landuse(spark, sf), G.obstacles(spark, sf)).select("row", "col", "value")
 
 
 @query("fuzzy_cluster_obstacles", sql(_CLUSTER, _components(_AROUND.format("items"), "SELECT id, id FROM items WHERE v > 0")))
 def fuzzy_cluster_obstacles(spark, sf):
-    return clusters.fuzzy_cluster_id_with_obstacles(G.items(spark), G.obstacles(spark), 150.0, 100.0).select("row", "col", "value")
+    return clusters.fuzzy_cluster_id_with_obstacles(G.items(spark, sf), G.obstacles(spark, sf), 150.0, 100.0).select("row", "col", "value")
 
 
 # ---- coverage

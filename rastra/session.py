@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
@@ -29,3 +30,11 @@ def dense_ids(keys: DataFrame, key: str, name: str, by: list[str] | None = None)
     inner = Window.partitionBy("__p", *by).orderBy(key)
     numbered = placed.withColumn("__k", F.row_number().over(inner)).join(base, [*by, "__p"])
     return numbered.select(*by, key, (F.col("__base") + F.col("__k")).alias(name))
+
+
+def scratch_uri(spark: SparkSession, name: str) -> str:
+    """A new folder's URI below the shared checkpoint folder."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='rastra-')}")
+    return f"{context._jsc.sc().getCheckpointDir().get().rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,19 +1,25 @@
-"""GeoTIFF and COG: header parser, chunk decoder and a Spark reader with one task row for each chunk.
+"""GeoTIFF and COG: header parser, chunk codecs, and a Spark reader and writers with one row for each chunk.
 
 Reads striped and tiled files, one sample a chunk, plain, LZW, deflate and ZSTD, predictors 1 to 3, overviews
-and sparse chunks.  Pixel-interleaved files of several bands are refused.
+and sparse chunks.  Pixel-interleaved files of several bands are refused.  A reader opens the files by range: the
+header, in a buffer that grows until it holds all directories, and then only the chunks that are wanted.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from dataclasses import dataclass, field
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.geo import Georef
+from .codecs import with_sentinel
+
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8, 18: 8}
 _KINDS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 
@@ -219,56 +225,267 @@ def encode(values: np.ndarray, dtype: str = "f32", *, gt: list[float] | None = N
     return struct.pack("<2sHI", b"II", 42, body) + b"".join(parts) + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + heap
 
 
+def gdal_metadata(text: str) -> dict:
+    """Scale and offset by band, statistics by band and name, and the other items of a GDAL metadata tag."""
+    out: dict = {"scale": {}, "offset": {}, "statistics": {}, "items": {}}
+    for item in ElementTree.fromstring(text).iterfind("Item"):
+        name, value, band = item.get("name", ""), (item.text or "").strip(), int(item.get("sample", -1)) + 1
+        role = item.get("role", "")
+        if role in ("scale", "offset"):
+            out[role][band] = float(value)
+        elif name.startswith("STATISTICS_"):
+            out["statistics"].setdefault(band, {})[name.removeprefix("STATISTICS_").lower()] = float(value)
+        else:
+            out["items"][name] = value
+    return out
+
+
+def _store(path: str):
+    from pyarrow import fs
+
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://"))
+
+
+def header(path: str, first: int = 1 << 16) -> list[Image]:
+    """The directories of a file, read from its start in as many bytes as they need."""
+    store, name = _store(path)
+    with store.open_input_file(name) as f:
+        size, n = f.size(), first
+        while True:
+            f.seek(0)
+            try:
+                return parse(f.read(min(n, size)))
+            except (struct.error, IndexError):
+                if n >= size:
+                    raise ValueError(f"{path} is cut off") from None
+                n *= 4
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """Paths and lengths below ``path``; contents are not read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """raster_meta rows (one for each file and overview) of all files below ``path``."""
 
     def run(batches):
         for frame in batches:
-            for name, data in zip(frame["path"], frame["content"]):
-                rows = [{"raster_id": name, "overview": k, "rows": i.height, "cols": i.width, "bands": i.bands, "dtype": i.dtype, "nodata": i.nodata, "epsg": i.epsg, "gt": i.gt} for k, i in enumerate(parse(data))]
+            for name in frame["path"]:
+                rows = []
+                for k, i in enumerate(header(name)):
+                    more = gdal_metadata(i.tags[42112]) if i.tags.get(42112) else {"scale": {}, "offset": {}}
+                    rows.append({"raster_id": name, "overview": k, "rows": i.height, "cols": i.width, "bands": i.bands, "dtype": i.dtype, "nodata": i.nodata, "epsg": i.epsg, "gt": i.gt,
+                                 "chunks": len(i.offsets), "scale": more["scale"].get(1), "offset": more["offset"].get(1)})
                 yield pd.DataFrame(rows)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "raster_id string, overview int, rows int, cols int, bands int, dtype string, nodata double, epsg int, gt array<double>")
+    return _files(spark, path).mapInPandas(run, "raster_id string, overview int, rows int, cols int, bands int, dtype string, nodata double, epsg int, gt array<double>, chunks int, scale double, offset double")
 
 
-def read(spark: SparkSession, path: str, *, band: int = 1, overview: int = 0, region: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """cells of a band; ``region`` (row, col, rows, cols) decodes only the chunks it touches.
+def read(spark: SparkSession, path: str, *, band: int = 1, overview: int = 0, region: tuple[int, int, int, int] | None = None, dtype: str | None = None) -> DataFrame:
+    """cells of a band; of ``region`` (row, col, rows, cols) only the chunks that it touches are read.
 
-    First the header gives a row for each chunk with its bytes, then the chunks are decoded wherever they are.
+    First the headers give a row for each chunk, then the chunks are read and decoded wherever their rows are dealt.
+    With ``dtype`` values are cut to that type, and what it cannot hold is no data.
     """
 
     def cut(batches):
         for frame in batches:
-            for name, data in zip(frame["path"], frame["content"]):
-                image = parse(data)[overview]
+            for name in frame["path"]:
+                image = header(name)[overview]
                 if not 1 <= band <= image.bands:
                     raise ValueError(f"band {band} of {image.bands}")
                 r0, c0, rows, cols = region or (0, 0, image.height, image.width)
-                for k, row, col in image.chunks_in(band, r0, c0, rows, cols):
-                    at, n = image.offsets[k], image.sizes[k]
-                    yield pd.DataFrame([{"raster_id": name, "row0": row, "col0": col, "w": image.width, "h": image.height, "cw": image.chunk_w, "ch": image.chunk_h, "dtype": image.dtype, "compression": image.compression,
-                                         "predictor": image.predictor, "nodata": image.nodata, "big": image.tags["order"] == ">", "data": data[at : at + n] if n else None}])
+                found = image.chunks_in(band, r0, c0, rows, cols)
+                yield pd.DataFrame([{"raster_id": name, "row0": row, "col0": col, "w": image.width, "h": image.height, "cw": image.chunk_w, "ch": image.chunk_h, "dtype": image.dtype, "compression": image.compression,
+                                     "predictor": image.predictor, "nodata": image.nodata, "big": image.tags["order"] == ">", "at": image.offsets[k], "n": image.sizes[k]} for k, row, col in found])
 
     def decode(batches):
         for frame in batches:
-            for r in frame.itertuples():
-                rows, cols = min(r.ch, r.h - r.row0), min(r.cw, r.w - r.col0)
-                if r.data is None:
-                    values = np.full((rows, cols), np.nan)
-                else:
-                    image = Image(r.w, r.h, 1, r.dtype, r.compression, r.predictor, r.cw, r.ch, [], [], tags={"order": ">" if r.big else "<"})
-                    values = chunk(image, r.data)[:rows, :cols].astype(float)
-                    if r.nodata is not None and not np.isnan(r.nodata):
-                        values[values == r.nodata] = np.nan
-                at = np.indices((rows, cols)).reshape(2, -1)
-                yield pd.DataFrame({"raster_id": r.raster_id, "row": at[0] + r.row0, "col": at[1] + r.col0, "value": values.ravel()})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    chunks = files.mapInPandas(cut, "raster_id string, row0 int, col0 int, w int, h int, cw int, ch int, dtype string, compression int, predictor int, nodata double, big boolean, data binary")
-    cells = chunks.mapInPandas(decode, "raster_id string, row int, col int, value double")
+            for name, part in frame.groupby("raster_id"):
+                store, place = _store(name)
+                with store.open_input_file(place) as f:
+                    for r in part.itertuples():
+                        rows, cols = min(r.ch, r.h - r.row0), min(r.cw, r.w - r.col0)
+                        if not r.n:
+                            values = np.full((rows, cols), np.nan)
+                        else:
+                            f.seek(int(r.at))
+                            image = Image(r.w, r.h, 1, r.dtype, r.compression, r.predictor, r.cw, r.ch, [], [], tags={"order": ">" if r.big else "<"})
+                            values = chunk(image, f.read(int(r.n)))[:rows, :cols].astype(float)
+                            if r.nodata is not None and not np.isnan(r.nodata):
+                                values[values == r.nodata] = np.nan
+                        at = np.indices((rows, cols)).reshape(2, -1)
+                        yield pd.DataFrame({"raster_id": name, "row": at[0] + r.row0, "col": at[1] + r.col0, "value": values.ravel()})
+
+    chunks = _files(spark, path).mapInPandas(cut, "raster_id string, row0 int, col0 int, w int, h int, cw int, ch int, dtype string, compression int, predictor int, nodata double, big boolean, at long, n long")
+    cells = chunks.repartition("raster_id", "row0", "col0").mapInPandas(decode, "raster_id string, row int, col int, value double")
     cells = cells.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     if region:
         r0, c0, rows, cols = region
         cells = cells.where(F.col("row").between(r0, r0 + rows - 1) & F.col("col").between(c0, c0 + cols - 1))
+    if dtype:
+        from ..operators.algebra import cast
+
+        cells = cast(cells, dtype)
     return cells
+
+
+# ---- writers
+
+
+def _pressed(block: np.ndarray, dtype: str, nodata: float | None, compression: int, predictor: int) -> bytes:
+    kind = np.dtype(f"<{dtype[0]}{int(dtype[1:]) // 8}")
+    if dtype[0] == "f":
+        stored = np.where(np.isnan(block), np.nan if nodata is None else nodata, block).astype(kind)
+    else:
+        typed = with_sentinel(block, dtype)
+        stored = np.where(np.isnan(block), typed if nodata is None else kind.type(nodata), typed).astype(kind)
+    if predictor == 2:
+        stored = np.concatenate([stored[:, :1], np.diff(stored, axis=1)], axis=1).astype(kind)
+        raw = stored.tobytes()
+    elif predictor == 3:
+        planes = stored.astype(kind.newbyteorder(">")).view(np.uint8).reshape(*stored.shape, kind.itemsize).transpose(0, 2, 1).reshape(len(stored), -1)
+        raw = np.concatenate([planes[:, :1], np.diff(planes, axis=1)], axis=1).astype(np.uint8).tobytes()
+    else:
+        raw = stored.tobytes()
+    if compression == 8:
+        return zlib.compress(raw)
+    if compression == 50000:
+        import zstandard
+
+        return zstandard.ZstdCompressor().compress(raw)
+    return raw
+
+
+def chunks_of(cells: DataFrame, rows: int, cols: int, level: int = 0, *, tile: int = 256, dtype: str = "f32", nodata: float | None = None, compression: int = 8, predictor: int = 1, sparse: bool = False) -> DataFrame:
+    """(raster_id, level, chunk, data): cells as encoded square chunks; a task holds a chunk.  Of ``sparse`` files a chunk
+    without data has none."""
+    wide = -(-cols // tile)
+
+    def press(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame.iloc[0]
+        block = np.full((tile, tile), np.nan)
+        block[frame["row"].to_numpy() % tile, frame["col"].to_numpy() % tile] = frame["value"].astype(float)
+        empty = sparse and np.isnan(block).all()
+        return pd.DataFrame({"raster_id": [first["raster_id"]], "level": [level], "chunk": [int(first["chunk"])], "data": [b"" if empty else _pressed(block, dtype, nodata, compression, predictor)]})
+
+    at = F.expr(f"cast((row div {tile}) * {wide} + col div {tile} as int)")
+    return cells.where(F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)).withColumn("chunk", at).groupBy("raster_id", "chunk").applyInPandas(press, "raster_id string, level int, chunk int, data binary")
+
+
+def _directory(g: Georef, level: int, rows: int, cols: int, sizes: list[int], at: int, where: int, last: bool, *, tile: int, dtype: str, nodata: float | None, compression: int, predictor: int, epsg: int | None) -> bytes:
+    """One image's directory, to lie at ``where``, of chunks that follow each other from ``at``."""
+    starts, spot = [], at
+    for n in sizes:
+        starts.append(spot if n else 0)
+        spot += n
+    tags = []
+    add = lambda tag, kind, fmt, *v: tags.append((tag, kind, struct.pack("<" + fmt, *v), len(v)))
+    if level:
+        add(254, 4, "I", 1)
+    for tag, kind, fmt, v in ((256, 4, "I", cols), (257, 4, "I", rows), (258, 3, "H", int(dtype[1:])), (259, 3, "H", compression), (262, 3, "H", 1), (277, 3, "H", 1), (317, 3, "H", predictor), (322, 4, "I", tile), (323, 4, "I", tile), (339, 3, "H", {"u": 1, "i": 2, "f": 3}[dtype[0]])):
+        add(tag, kind, fmt, v)
+    add(324, 16, f"{len(sizes)}Q", *starts)
+    add(325, 4, f"{len(sizes)}I", *sizes)
+    if not level:
+        add(33550, 12, "3d", g.cx, -g.cy, 0.0)
+        add(33922, 12, "6d", 0, 0, 0, g.x0, g.y0, 0)
+        if epsg:
+            geographic = epsg in (4326, 4258, 4313)
+            add(34735, 3, "12H", 1, 1, 0, 2, 1024, 0, 1, 2 if geographic else 1, 2048 if geographic else 3072, 0, 1, epsg)
+    if nodata is not None:
+        text = repr(nodata).encode() + b"\0"
+        tags.append((42113, 2, text, len(text)))
+    tags.sort()
+    heap_at = where + 8 + 20 * len(tags) + 8
+    entries, heap = b"", b""
+    for tag, kind, raw, n in tags:
+        if len(raw) <= 8:
+            entries += struct.pack("<HHQ", tag, kind, n) + raw.ljust(8, b"\0")
+        else:
+            entries += struct.pack("<HHQQ", tag, kind, n, heap_at + len(heap))
+            heap += raw + b"\0" * (-len(raw) % 8)
+    size = heap_at - where + len(heap)
+    return struct.pack("<Q", len(tags)) + entries + struct.pack("<Q", 0 if last else where + size) + heap
+
+
+_GHOST = b"LAYOUT=IFDS_BEFORE_DATA\nBLOCK_ORDER=ROW_MAJOR\nBLOCK_LEADER=NONE\n"
+
+
+def file_head(g: Georef, sizes: list[list[int]], **options) -> bytes:
+    """All that comes before the chunks of a cloud-optimised BigTIFF: ``sizes`` are the chunks' bytes, level by level."""
+    ghost = b"GDAL_STRUCTURAL_METADATA_SIZE=%06d bytes\n" % len(_GHOST) + _GHOST
+    start = 16 + len(ghost) + -len(ghost) % 8
+
+    def build(data_at: int) -> bytes:
+        out, spot = b"", data_at
+        for level, n in enumerate(sizes):
+            rows, cols = -(-g.rows // 2**level), -(-g.cols // 2**level)
+            out += _directory(g, level, rows, cols, n, spot, start + len(out), level == len(sizes) - 1, **options)
+            spot += sum(n)
+        return out
+
+    directories = build(0)
+    directories = build(start + len(directories))
+    return struct.pack("<2sHHHQ", b"II", 43, 8, 0, start) + ghost.ljust(start - 16, b"\0") + directories
+
+
+def write_cog(cells: DataFrame, g: Georef, uri: str, *, levels: int = 1, tile: int = 256, dtype: str = "f32", nodata: float | None = None, compression: int = 8, predictor: int = 1, sparse: bool = False, epsg: int | None = 3857, how: str = "mean") -> DataFrame:
+    """A cloud-optimised GeoTIFF of each raster of ``cells`` below ``uri``, with ``levels`` - 1 overviews; returns (raster_id, path, bytes).
+
+    Chunks are encoded in parallel and written to a table; then a task for each file streams its chunks in order behind
+    the head, which their sizes make.  A negative no-data value of an unsigned type is refused.
+    """
+    from ..operators.tiling import downsample
+    from ..session import checkpointed
+
+    if nodata is not None and nodata < 0 and dtype[0] == "u":
+        raise ValueError(f"{nodata} is no value of the type {dtype}")
+    parts, now = None, cells
+    for level in range(levels):
+        part = chunks_of(now, -(-g.rows // 2**level), -(-g.cols // 2**level), level, tile=tile, dtype=dtype, nodata=nodata, compression=compression, predictor=predictor, sparse=sparse)
+        parts = part if parts is None else parts.unionByName(part)
+        now = downsample(now, 2, how)
+    made = checkpointed(parts)
+    counts = [-(-(-(-g.rows // 2**k)) // tile) * -(-(-(-g.cols // 2**k)) // tile) for k in range(levels)]
+    sizes = made.groupBy(F.col("raster_id").alias("__name")).agg(F.collect_list(F.struct("level", "chunk", F.length("data").alias("n"))).alias("sizes"))  # a few bytes for each chunk
+    fed = made.join(sizes, F.col("raster_id") == F.col("__name")).withColumn("sizes", F.when((F.col("level") == 0) & (F.col("chunk") == 0), F.col("sizes"))).drop("__name")
+    options = {"tile": tile, "dtype": dtype, "nodata": nodata, "compression": compression, "predictor": predictor, "epsg": epsg}
+
+    def stream(batches):
+        out = name = None
+        written = 0
+
+        def close():
+            out.close()
+            store.move(temporary, f"{base}/{name}.tif")
+            return pd.DataFrame({"raster_id": [name], "path": [f"{uri}/{name}.tif"], "bytes": [written]})
+
+        store, base = _store(uri)
+        for frame in batches:
+            for raster, level, part, data, found in frame[["raster_id", "level", "chunk", "data", "sizes"]].itertuples(index=False):
+                if raster != name:
+                    if out is not None:
+                        yield close()
+                    name, written = raster, 0
+                    listed = [[0] * n for n in counts]
+                    for s in found:
+                        listed[s["level"]][s["chunk"]] = s["n"]
+                    store.create_dir(base, recursive=True)
+                    temporary = f"{base}/_{name}.{uuid.uuid4().hex}"
+                    out = store.open_output_stream(temporary)
+                    head = file_head(g, listed, **options)
+                    out.write(head)
+                    written += len(head)
+                out.write(data)
+                written += len(data)
+        if out is not None:
+            yield close()
+
+    ordered = fed.repartition("raster_id").sortWithinPartitions("raster_id", "level", "chunk")
+    return checkpointed(ordered.mapInPandas(stream, "raster_id string, path string, bytes long"))

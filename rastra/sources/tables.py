@@ -74,16 +74,26 @@ def sheet_rows(data: bytes, sheet: str | None = None) -> list[list[str | None]]:
 
 
 def read_xlsx(spark: SparkSession, path: str, *, sheet: str | None = None, header: int | None = 0, types: dict[str, str] | None = None) -> DataFrame:
-    """A sheet; ``header`` is the header's place among the rows that are not empty, None for no header."""
-    file = spark.read.format("binaryFile").load(path).select("content").first()
-    rows = sheet_rows(bytes(file["content"]), sheet)
-    width = max((len(r) for r in rows), default=0)
+    """A sheet; ``header`` is the header's place among the rows that are not empty, None for no header.
+
+    Files are parsed where they are read; the driver sees a header and the number of columns only.
+    """
+
+    def run(batches):
+        for frame in batches:
+            for data in frame["content"]:
+                rows = sheet_rows(bytes(data), sheet)
+                yield pd.DataFrame({"k": range(len(rows)), "cells": rows})
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "k int, cells array<string>")
+    width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
     names = [f"Field{k + 1}" for k in range(width)]
-    if header is not None and rows:
-        names = [(c or names[k]) for k, c in enumerate(rows[header] + [None] * (width - len(rows[header])))]
-        rows = rows[header + 1 :]
-    padded = [r + [None] * (width - len(r)) for r in rows]
-    raw = spark.createDataFrame(padded, ", ".join(f"`{n}` string" for n in names) or "Field1 string")
+    if header is not None and width:
+        first = rows.where(F.col("k") == header).select("cells").first()
+        given = list(first["cells"]) if first else []
+        names = [(given[k] if k < len(given) and given[k] else names[k]) for k in range(width)]
+        rows = rows.where(F.col("k") > header)
+    raw = rows.select(*[F.try_element_at("cells", F.lit(k + 1)).alias(n) for k, n in enumerate(names)]) if width else spark.createDataFrame([], "Field1 string")
     return _typed(raw, types)
 
 
@@ -103,19 +113,30 @@ def _with_database(data: bytes, use):
             con.close()
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
-    """A table of every SQLite file below ``path``, such as the tiles of MBTiles files."""
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, where: str = "", values: tuple = ()) -> DataFrame:
+    """A table of every SQLite file below ``path``, such as the tiles of MBTiles files; ``where``, with ``values`` for its
+    question marks, is answered by the files' own index."""
+    names = ", ".join(f'"{f.split()[0]}"' for f in schema.split(","))
+    text = f'SELECT {names} FROM "{table}"' + (f" WHERE {where}" if where else "")
 
     def run(batches):
         for frame in batches:
             for data in frame["content"]:
-                yield _with_database(bytes(data), lambda con: pd.read_sql_query(f'SELECT * FROM "{table}"', con))
+                yield _with_database(bytes(data), lambda con: pd.read_sql_query(text, con, params=values))
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
-def read_mbtiles(spark: SparkSession, path: str) -> DataFrame:
-    raw = read_sqlite(spark, path, "tiles", "zoom_level int, tile_column int, tile_row int, tile_data binary")
+def mbtiles_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """One row with all names and values as a map."""
+    pairs = read_sqlite(spark, path, "metadata", "name string, value string")
+    return pairs.agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("metadata"))  # a few rows a file
+
+
+def read_mbtiles(spark: SparkSession, path: str, tile: tuple[int, int, int] | None = None) -> DataFrame:
+    """(z, x, y, data), of one tile if (z, x, y) is given."""
+    where = "zoom_level = ? AND tile_column = ? AND tile_row = ?" if tile else ""
+    raw = read_sqlite(spark, path, "tiles", "zoom_level int, tile_column int, tile_row int, tile_data binary", where, tuple(tile or ()))
     return raw.select(F.col("zoom_level").alias("z"), F.col("tile_column").alias("x"), F.col("tile_row").alias("y"), F.col("tile_data").alias("data"))
 
 
