@@ -7,10 +7,15 @@ verified by a banded alignment of the two shingle sequences: matched m, similari
 is the Jaccard similarity of the labelled shingles when both texts keep their order.  The band holds every
 alignment that can reach the threshold.  Classes follow ``links.bucket_classes``.
 
+Texts meet by chance: of pairs at exactly 0.8 that keep their order, one in 40,000 shares none of the 20 sketches
+if the texts are long.  Short ones, of ``SHORT`` shingles or fewer, would miss each other more often (five shingles
+and four: 1 in 80), so they have 8 sketches more, of two shingles.  Whoever has met is tested exactly; what
+spares an alignment is a bound on the shingles that two texts can share, never an estimate.
+
 Defined results: documents of equal word sequence are one class; without any word, those of equal text; a text
 of fewer than five words is one shingle; null texts are alone; one row per doc_id, where rows that repeat
 a doc_id with other texts stand for the document by their smallest content hash; rows with a null doc_id are
-returned with null class and kept; an empty table gives no rows; other columns are ignored.
+returned each, with null class_id and kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from . import storage
 from .links import Forest, bucket_classes, groups_of
 
 TABLES, KEEP, WORDS = 20, 4, 5
+SHORT, SHORT_TABLES, SHORT_KEEP = 10, 8, 2
 _WORD = re.compile(r"[^\W_]+")
 _STEP = 256
 
@@ -79,22 +85,32 @@ def shingles(words: np.ndarray) -> np.ndarray:
 
 
 def sketches(s: np.ndarray, tables: int = TABLES, keep: int = KEEP) -> np.ndarray:
-    """One 64-bit key per table, of the smallest labelled shingles in text order."""
-    v = _mix(s[None, :] ^ _SEEDS[:tables, None])
+    """One 64-bit key per table, of the smallest labelled shingles in text order; short texts have further tables."""
+    keys = _keys(s, _SEEDS[:tables], keep)
+    return np.concatenate([keys, _keys(s, _SEEDS[tables : tables + SHORT_TABLES], SHORT_KEEP)]) if len(s) <= SHORT else keys
+
+
+def _keys(s: np.ndarray, seeds: np.ndarray, keep: int) -> np.ndarray:
+    v = _mix(s[None, :] ^ seeds[:, None])
     if len(s) > keep:
         at = np.sort(np.argpartition(v, keep, axis=1)[:, :keep], axis=1)
     else:
-        at = np.broadcast_to(np.arange(len(s)), (tables, len(s)))
-    key = _SEEDS[:tables].copy()
+        at = np.broadcast_to(np.arange(len(s)), (len(seeds), len(s)))
+    key = seeds.copy()
     for k in range(at.shape[1]):
         key = _mix(key * _POWERS[1] + s[at[:, k]])
     return key.view(np.int64)
 
 
+def _needed(total, threshold: float):
+    """Shingles that two sequences of ``total`` together must share in order."""
+    return np.ceil(threshold / (1 + threshold) * total - 1e-9).astype(int)
+
+
 def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     """Whether the banded alignment of two sequences of labelled shingles reaches the threshold."""
     total = len(a) + len(b)
-    need = int(np.ceil(threshold / (1 + threshold) * total - 1e-9))
+    need = int(_needed(np.float64(total), threshold))
     if min(len(a), len(b)) < need:
         return False
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
@@ -135,33 +151,24 @@ def _sketch(tables: int, keep: int):
     return run
 
 
-class _Shingles:
-    """Shingle sequences by id, as long as they are likely to be wanted again."""
-
-    def __init__(self):
-        self.held: dict = {}
-
-    def __call__(self, key, data: bytes) -> np.ndarray:
-        if key not in self.held:
-            if len(self.held) > 256:
-                self.held.clear()
-            self.held[key] = shingles(np.frombuffer(data, np.uint32))
-        return self.held[key]
-
-
-def _test_pairs(threshold: float):
+def _test_star(threshold: float):
     def run(batches):
-        of = _Shingles()
+        head, of = None, np.zeros(0, np.uint64)
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            x, y = batch.column(2), batch.column(3)
-            hit = pa.array([similar(of(i, x[k].as_py()), of(j, y[k].as_py()), threshold) for k, (i, j) in enumerate(zip(a, b))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], ["a", "b"])
+            a, b = [], []
+            for hub, kind, doc, data in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                s = shingles(np.frombuffer(data, np.uint32))
+                if not kind:
+                    head, of = hub, s
+                elif hub == head and similar(of, s, threshold):
+                    a.append(doc)
+                    b.append(hub)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _test_block(threshold: float, tables: int):
+def _test_block(threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         ids, cls, data = frame["id"].tolist(), frame["class"].tolist(), frame["data"].tolist()
         forest, failed, made = Forest(), set(), {}
@@ -169,19 +176,18 @@ def _test_block(threshold: float, tables: int):
             forest.join(i, c, link=False)
             if i not in made:
                 s = shingles(np.frombuffer(d, np.uint32))
-                made[i] = s, np.sort(s), _mix(s[None, :] ^ _SEEDS[:tables, None]).min(axis=1)
+                made[i] = s, np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.int32)
         for left, right in groups_of(frame):
             size = np.array([len(made[ids[q]][0]) for q in right])
-            mins = np.array([made[ids[q]][2] for q in right]).reshape(len(right), -1)
+            bins = np.array([made[ids[q]][1] for q in right]).reshape(len(right), -1)
             for p in left.tolist():
-                a = made[ids[p]]
-                # The estimate of the Jaccard similarity is five standard deviations below the threshold.
-                least = tables * threshold - 5 * np.sqrt(tables * threshold * (1 - threshold))
-                fit = (np.minimum(size, len(a[0])) >= threshold * np.maximum(size, len(a[0])) - 1e-9) & ((mins == a[2]).sum(1) >= least)
+                s, own = made[ids[p]]
+                # Two texts share no more than their bins do.
+                fit = np.minimum(bins, own).sum(1) >= _needed(size + len(s), threshold)
                 for q in right[fit].tolist():
                     pair = (min(ids[p], ids[q]), max(ids[p], ids[q]))
                     if forest.root(ids[p]) != forest.root(ids[q]) and pair not in failed:
-                        if similar(a[0], made[ids[q]][0], threshold):
+                        if similar(s, made[ids[q]][0], threshold):
                             forest.join(*pair)
                         else:
                             failed.add(pair)
@@ -194,26 +200,33 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, *, tables: int = TA
     """doc_id, class_id (smallest doc_id of the class), kept (doc_id = class_id)."""
     spark = docs.sparkSession
     storage.small_batches(spark)
-    storage.shared_dir(spark)
-    made = storage.written(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_sketch(tables, keep), "id long, same binary, keys array<long>, data binary"),
-        "order-minhash",
-    )
-    ids = made.where("id is not null").groupBy("id").agg(F.min("same").alias("same"))
-    reps = ids.where("same is not null").groupBy("same").agg(F.min("id").alias("rep"))
-    of = ids.join(reps, "same", "left").select("id", F.coalesce("rep", "id").alias("rep"), "same").checkpoint()
-    own = of.where("id = rep and same is not null").select("id", "same")
-    chosen = made.join(own, ["id", "same"], "left_semi").select("id", "keys", "data")
-    members = chosen.select("id", F.posexplode("keys").alias("t", "key")).select(F.xxhash64("key", "t").alias("bucket"), "id").distinct()
-    payload = chosen.select("id", "data").groupBy("id").agg(F.first("data").alias("data")) if _repeats(made) else chosen.select("id", "data")
-    classes = bucket_classes(members, payload, _test_pairs(threshold), _test_block(threshold, tables), block=256, rows_per_bin=1024)
-    out = of.join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("class_id"))
+    scratch = storage.Scratch(spark, "order-minhash")
+    made = scratch.write(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_sketch(tables, keep), "id long, same binary, keys array<long>, data binary"))
+    named = made.where("id is not null")
+    shape = named.agg(F.count("*").alias("n"), F.count_distinct("id").alias("d")).first()
+    repeated = shape["n"] != shape["d"]
+    ids = named.select("id", "same")
+    if repeated:
+        ids = scratch.write(ids.groupBy("id").agg(F.min("same").alias("same")))
+    # Few texts have an exact copy; only their rows need to learn of it.
+    copied = scratch.write(ids.where("same is not null").groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"))
+    of = scratch.write(storage.join_unique(ids, copied, "same", "n").select("id", "same", "rep"))
+    others = scratch.write(of.where("id <> rep").select("id", "same"))
+    chosen = named.where("same is not null").select("id", "same", "keys", "data")
+    if repeated:  # of an id's texts one stands for it; rows of other ids stay where they are
+        often = scratch.write(named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+        likely, once = storage.divided(chosen, often, "id")
+        chosen = scratch.write(once.unionByName(likely.groupBy("id").agg(F.min(F.struct("same", "keys", "data")).alias("s")).select("id", "s.*")))
+    payload = chosen.select("id", "data")  # of copies too, which nobody asks for
+    copies, single = storage.divided(chosen.select("id", "same", "keys"), others, "id")
+    chosen = single.unionByName(copies.join(others, ["id", "same"], "left_anti"))
+    members = chosen.select("id", F.posexplode("keys").alias("t", "key")).select(F.xxhash64("key", "t").alias("bucket"), "id")
+    classes = bucket_classes(members, payload, _test_star(threshold), _test_block(threshold), block=256, rows_per_bin=1024)
     # A class's smallest representative is its smallest document: representatives are smallest among equals.
-    out = out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
-    nameless = made.where("id is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(True).alias("kept"))
-    return out.unionByName(nameless)
-
-
-def _repeats(made: DataFrame) -> bool:
-    row = made.where("id is not null").agg(F.count("*").alias("n"), F.count_distinct("id").alias("d")).first()
-    return row["n"] != row["d"]
+    settled = of.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
+    single = classes.join(of, "id", "left_anti").select("id", F.col("component").alias("class_id"))
+    linked = scratch.write(settled.unionByName(single))
+    scratch.drop(copied, others, of)
+    out = ids.select("id").join(linked, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
+    nameless = made.where("id is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"))
+    return out.unionByName(nameless).withColumn("kept", F.col("doc_id") == F.col("class_id"))
