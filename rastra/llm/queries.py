@@ -25,7 +25,11 @@ def op2_balltree_top_k(spark, sf_dir):
 
 
 def op3_warc_derivatives(spark, sf_dir):
-    return warc.derivatives(_table(spark, sf_dir, "pages"))
+    uri = storage.fresh_path(spark, "warc")
+    records = warc.derivatives(_table(spark, sf_dir, "pages"))
+    if not warc.write_warc(records, uri).take(1):
+        return records
+    return warc.read_warc(spark, uri)
 
 
 def op4_karmarkar_karp_shards(spark, sf_dir):
