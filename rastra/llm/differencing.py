@@ -6,8 +6,8 @@ the groups of each bucket (a few ten thousand groups a task), then over the buck
 which are ``shards`` numbers a bucket, level by level until one task holds them all.
 
 Defined results: rows of equal text are one group (null texts are one too) and share a shard; a group
-larger than an even share keeps a shard of its own; repeated rows each get a slot; null ids are kept; an
-empty table gives no rows.  Columns of the input stay, save those named like an output, which are replaced.
+larger than an even share keeps a shard of its own; repeated rows each get a slot; null ids are kept; the
+query's text_crc32 of a null text is null; an empty table gives no rows.  Columns of the input stay, save those named like an output, which are replaced.
 """
 
 from __future__ import annotations
@@ -132,9 +132,11 @@ def shard_documents(docs: DataFrame, shards: int = 24, *, text_col: str = "text"
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
     group = F.unhex(F.coalesce(F.md5(text), F.lit("00")))  # equal texts, told by 128 bits
     docs = docs.select(*[c for c in docs.columns if c not in new], size.alias("size"), group.alias("__g"))
-    sizes = docs.groupBy(F.col("__g").alias("g")).agg(F.sum("size").alias("size"))
-    to = group_shards(sizes, shards, **options)
-    placed = docs.join(to.withColumnRenamed("g", "__g"), "__g")
+    scratch = storage.Scratch(docs.sparkSession, "kk")
+    sizes = scratch.write(docs.groupBy("__g").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
+    to = group_shards(sizes.select(F.col("__g").alias("g"), "size"), shards, **options)
+    found = scratch.write(sizes.select("__g", "n").join(to.withColumnRenamed("g", "__g"), "__g"))
+    placed = storage.join_unique(docs, found, "__g", "n", all_rows=True).drop("n")
     # Slots: rows are numbered within many chunks of a shard, chunks start where those before them end.
     spark = docs.sparkSession
     chunks = max(1, storage.partitions(spark) // 2)
@@ -146,6 +148,3 @@ def shard_documents(docs: DataFrame, shards: int = 24, *, text_col: str = "text"
     out = placed.withColumn("__k", F.row_number().over(inner) - 1).join(F.broadcast(base), ["shard", "__chunk"])  # shards x chunks rows
     return out.withColumns({"law": F.lit("bytes"), "slot": F.col("__base") + F.col("__k"), "grown_shard": F.lit(None).cast("int")}).drop("__g", "__k", "__base", "__chunk")
 
-
-def digest(sharded: DataFrame) -> DataFrame:
-    return sharded.select("doc_id", "size", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
