@@ -3,8 +3,9 @@
 Features are the 2-, 3- and 4-grams of the UTF-8 bytes of the lower-cased text, ASCII other than letters
 being blanks, hashed to buckets.  A text is the mean of its grams' embeddings; a linear softmax gives the
 language.  Embeddings and softmax are trained together by stochastic gradient descent in numpy on a
-bounded sample: ``max_rows`` labelled rows in all, in equal number from each language where it has so many,
-chosen by a hash of doc_id.  A fifth of the sample calibrates: a temperature by likelihood, and the rejection
+bounded sample: ``max_rows`` (2,400) labelled rows in all, one of each language at least, in equal number from each
+where it has so many, chosen by the smallest hashes of doc_id, and no more rows of each than fit into ``max_bytes``
+(64 MB) of grams.  A fifth of the sample calibrates: a temperature by likelihood, and the rejection
 level below which at most ``reject_share`` of these texts lie.  For use, embedding and softmax are multiplied
 into a table of buckets x languages, which is broadcast (2 MB for four languages).
 
@@ -24,7 +25,7 @@ from pyspark.sql.window import Window
 
 from . import storage
 
-BUCKETS, DIM, MAX_ROWS = 1 << 17, 8, 2400
+BUCKETS, DIM, MAX_ROWS, MAX_BYTES = 1 << 17, 8, 2400, 64 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 _BYTES = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _GAP = b"    "
@@ -140,30 +141,43 @@ def train(bags: list[tuple[str, np.ndarray, np.ndarray]], *, epochs: int = 12, r
 
 def _bags(batches):
     for batch in batches:
-        rows = []
-        for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-            if text and _LETTER.search(text):
-                at, n = np.unique(grams(_pad(prepared(text))), return_counts=True)
-                rows.append({"doc_id": doc, "lang": lang, "at": at.astype("<i4").tobytes(), "share": (n / n.sum()).astype("<f4").tobytes()})
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("share", pa.binary())]))
+        for at in range(0, batch.num_rows, 64):
+            rows = []
+            for doc, lang, place, text in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+                if text and _LETTER.search(text):
+                    found, n = np.unique(grams(_pad(prepared(text))), return_counts=True)
+                    rows.append({"doc_id": doc, "lang": lang, "place": place, "at": found.astype("<i4").tobytes(), "share": (n / n.sum()).astype("<f4").tobytes()})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("place", pa.int32()), ("at", pa.binary()), ("share", pa.binary())]))
 
 
 def _pad(data: bytes) -> bytes:
     return data + _GAP[:3]
 
 
-def fit(docs: DataFrame, *, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Model:
-    """Train on at most ``max_rows`` rows of ``docs``, which holds rows that may be learnt from."""
+def fit(docs: DataFrame, *, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Model:
+    """Train on a bounded sample of ``docs``, which holds rows that may be learnt from."""
+    spark = docs.sparkSession
+    scratch = storage.Scratch(spark, "langid")
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     ids = rows.select("doc_id", "lang")
-    langs = ids.select("lang").distinct().count()
+    counts = scratch.write(ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")))  # a row for each language
+    langs = counts.count()
     if not langs:
         return Model([], np.zeros((0, 0), np.float32), np.zeros(0), 1.0, 1.0)
+    each = max(1, max_rows // langs)
+    # The smallest hashes lie below a bound that lets twice as many pass and some: so few rows meet to be ranked.
+    bound = (F.lit(2.0 * each + 50) / F.col("n") * 2.0**64 - 2.0**63).alias("bound")
+    few = ids.join(F.broadcast(counts.select("lang", bound)), "lang").where(F.xxhash64("doc_id").cast("double") <= F.col("bound")).select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max(1, max_rows // langs)).select("doc_id", "lang").distinct()
-    bags = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(_bags, "doc_id long, lang string, at binary, share binary")
-    got = bags.dropDuplicates(["doc_id", "lang"]).limit(max_rows).toPandas().sort_values(["doc_id", "lang"])
+    chosen = scratch.write(few.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each))
+    bags = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "place", "text").mapInArrow(_bags, "doc_id long, lang string, place int, at binary, share binary")
+    bags = scratch.write(bags.dropDuplicates(["doc_id", "lang"]))
+    sizes = bags.groupBy("place").agg(F.sum(F.length("at") * 2).alias("bytes")).orderBy("place").collect()  # at most ``each`` rows
+    held = np.cumsum([r["bytes"] for r in sizes])
+    last = max([sizes[0]["place"]] + [r["place"] for r, total in zip(sizes, held) if total <= max_bytes]) if sizes else 0
+    got = bags.where(F.col("place") <= last).toPandas().sort_values(["doc_id", "lang"])
+    scratch.drop(counts, chosen, bags)
     return train([(r.lang, np.frombuffer(r.at, "<i4"), np.frombuffer(r.share, "<f4")) for r in got.itertuples()], **options)
 
 
