@@ -2,8 +2,9 @@
 
 DataFrame functions and Spark's FP-growth only.  A URL's tokens are its host labels (h:), its path words
 without numbers (p:) and its query keys (q:).  FP-growth mines token sets of labelled URLs with the item
-``!block``; rules tokens -> !block of enough support and confidence, and of lift above one, block.  Rules
-are matched through an inverted index: each rule stands under its rarest token, and a URL that has
+``!block``; rules tokens -> !block of enough support and confidence, and of lift above one, block.  Tokens that
+occur in the very same labelled URLs are one item, the first of them: k of these would make 2**k sets that say the
+same.  Rules are matched through an inverted index: each rule stands under its rarest token, and a URL that has
 this token is tested for the others.  URLs of equal token sets are matched once.
 
 Defined results: a url that is null or has no ``://`` has empty host and path, no rule, no tokens, and is allowed;
@@ -51,24 +52,40 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return out
 
 
+def merged(labelled: DataFrame, min_support: float) -> DataFrame:
+    """(tokens, blocked) with frequent tokens only, one for all that occur in the very same rows.
+
+    Rows are told by a hash of their tokens and label; a token's rows by their number and the sum of these hashes.  At most
+    1 / min_support times the tokens of a row are frequent, so their table is broadcast.
+    """
+    rows = labelled.where("size(tokens) > 0").withColumn("__h", F.xxhash64("tokens", "blocked").cast("decimal(38,0)"))
+    least = F.lit(min_support) * rows.count()
+    each = rows.select(F.explode("tokens").alias("token"), "__h").groupBy("token").agg(F.count("*").alias("n"), F.sum("__h").alias("h")).where(F.col("n") >= least)
+    first = each.groupBy("n", "h").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"))
+    item = first.select(F.explode("tokens").alias("token"), "item").checkpoint()
+    numbered = rows.select(F.monotonically_increasing_id().alias("__r"), "tokens", "blocked").checkpoint()
+    found = numbered.select("__r", "blocked", F.explode("tokens").alias("token")).join(F.broadcast(item), "token")
+    return found.groupBy("__r", "blocked").agg(F.array_sort(F.collect_set("item")).alias("tokens")).select("tokens", "blocked")
+
+
 def mine(labelled: DataFrame, *, min_support: float = 0.002, min_confidence: float = 0.7) -> DataFrame:
     """Rules (antecedent, confidence, lift, support) from (tokens, blocked)."""
     items = F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens"))
-    baskets = labelled.where("size(tokens) > 0").select(items.alias("items"))
+    baskets = merged(labelled, min_support).select(items.alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=storage.partitions(labelled.sparkSession)).fit(baskets)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.col("lift") > 1))
     return rules.select("antecedent", "confidence", "lift", "support")
 
 
 def matches(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct token sets (tokens) that a rule fits, with the rule's best confidence."""
-    common = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    """Distinct token sets (tokens, n) that a rule fits, with the rule's best confidence; ``sets`` has how many rows hold each."""
+    common = sets.select(F.explode("tokens").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
     numbered = rules.select(F.monotonically_increasing_id().alias("r"), "antecedent", "confidence").checkpoint()
     anchor = numbered.select("r", F.explode("antecedent").alias("token")).join(common, "token").groupBy("r").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
     index = numbered.join(anchor, "r").select("token", "antecedent", "confidence")
     index = F.broadcast(index) if numbered.count() <= 50_000 else index
-    hits = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
-    return hits.groupBy("tokens").agg(F.max("confidence").alias("confidence"))
+    hits = sets.select("tokens", "n", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    return hits.groupBy("tokens").agg(F.max("n").alias("n"), F.max("confidence").alias("confidence"))
 
 
 def judge(pages: DataFrame, labelled_urls: DataFrame, rules: list[tuple[str, str, str]], *, url_col: str = "url", **options) -> DataFrame:
@@ -85,7 +102,14 @@ def judge(pages: DataFrame, labelled_urls: DataFrame, rules: list[tuple[str, str
         rows = rows.withColumn("confidence", F.lit(None).cast("double"))
     else:
         rows = rows.withColumn("__t", tokens_of(url, F.col("host"), F.col("path")))
-        hits = matches(rows.where("size(__t) > 0").select(F.col("__t").alias("tokens")).distinct(), mined).withColumnRenamed("tokens", "__t")
-        rows = rows.join(hits, "__t", "left").drop("__t")
+        sets = rows.where("size(__t) > 0").groupBy(F.col("__t").alias("tokens")).agg(F.count("*").alias("n"))
+        hits = matches(sets, mined).withColumnRenamed("tokens", "__t").checkpoint()
+        # Rows of frequent sets get their rule by a broadcast; rows that surely have none need no join.
+        total = hits.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        often = F.col("n") >= max(2, total / storage.HOT_KEYS)
+        likely, none = storage.divided(rows, hits, "__t")
+        hot = F.broadcast(hits.where(often).select("__t", "confidence"))  # at most HOT_KEYS rows
+        rare = likely.join(hot.select("__t"), "__t", "left_anti").join(hits.where(~often).select("__t", "confidence"), "__t", "left")
+        rows = likely.join(hot, "__t").unionByName(rare).unionByName(none.withColumn("confidence", F.lit(None).cast("double"))).drop("__t")
     verdict = F.coalesce(given["verdict"], F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return rows.withColumns({"rule": given["rule"], "verdict": verdict}).drop("__rule")
