@@ -53,9 +53,11 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], *, rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
-    """cells (dimensions, tokens) with weight: shares that meet the targets as far as the cells allow."""
+    """cells (dimensions, tokens) with weight: shares that meet the targets as far as the cells allow; and ``residual``:
+    by how much the last round still scaled the cell (0 when the targets are met; more where cells that do not
+    exist keep ``rounds`` rounds from meeting them all)."""
     dims = list(targets)
-    now = cells.withColumn("weight", F.col("tokens").cast("double"))
+    now = cells.withColumn("weight", F.col("tokens").cast("double")).withColumn("residual", F.lit(0.0))
     for turn in range(rounds):
         off = []
         for d in dims:
@@ -66,7 +68,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], *, rounds: int = 30, t
             now = scaled.checkpoint()  # else the next dimension's sums would compute this one again
             off.append(f"__off_{d}")
         worst = now.agg(F.max(F.when(F.col("weight") > 0, F.greatest(*off))).alias("w")).first()["w"]
-        now = now.drop(*off)
+        now = now.drop("residual").withColumn("residual", F.greatest(*off)).drop(*off)
         if turn and (worst is None or worst < tolerance):
             break
     return now
