@@ -1,8 +1,8 @@
 """Polygons on grids: coverage shares, border adjustment, burning values.
 
 Polygons are rings of (x, y); a cell's share is the area of the polygon clipped to it.  Each polygon becomes
-one row for each cell of its bounding box (one range of rows and columns, no join against the grid), and the
-clip runs on these rows in Arrow batches.
+one row for each row of cells that its box touches (a range, no join against the grid).  There its ring is cut to the row
+once, and the areas left of all cell edges, by an integral along the ring, give the areas of the row's cells.
 """
 
 from __future__ import annotations
@@ -58,25 +58,44 @@ def rect_coverage(rects: DataFrame, g: Georef) -> DataFrame:
     return cells.withColumn("a", w * h).where((w > 0) & (h > 0)).select("polygon_id", "name", "value", "row", "col", (F.col("a") / area).alias("coverage"), (F.col("a") / abs(g.cx * g.cy)).alias("cell_coverage"))
 
 
+def areas_left_of(ring: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Area of a ring left of each vertical line: the integral of y along the ring, as far as it lies there."""
+    (xa, ya), (xb, yb) = ring.T[:, :, None], np.roll(ring, -1, axis=0).T[:, :, None]
+    run = xb - xa
+    slope = np.divide(yb - ya, run, out=np.zeros_like(run), where=run != 0)
+    x1, x2 = np.minimum(xa, edges), np.minimum(xb, edges)
+    middle = ya + slope * ((x1 + x2) / 2 - xa)
+    return np.abs(((x2 - x1) * middle).sum(0))
+
+
 def polygon_coverage(polygons: DataFrame, g: Georef) -> DataFrame:
     """As ``rect_coverage`` for polygons (polygon_id, name, value, ring: array of arrays [x, y])."""
     at = lambda k: F.transform("ring", lambda p: p[k])
-    cells = _bbox_cells(polygons, g, F.array_min(at(0)), F.array_min(at(1)), F.array_max(at(0)), F.array_max(at(1)))
-
-    @F.pandas_udf("double")
-    def area_in(ring: pd.Series, row: pd.Series, col: pd.Series) -> pd.Series:
-        out = []
-        for p, r, c in zip(ring, row, col):
-            x, y = g.x0 + c * g.cx, g.y0 + r * g.cy
-            out.append(ring_area(clip(np.array([list(q) for q in p], float), x, y + g.cy, x + g.cx, y)))
-        return pd.Series(out)
-
-    @F.pandas_udf("double")
-    def area_of(ring: pd.Series) -> pd.Series:
-        return pd.Series([ring_area(np.array([list(q) for q in p], float)) for p in ring])
-
-    areas = cells.withColumn("a", area_in("ring", "row", "col")).withColumn("whole", area_of("ring")).where("a > 0")
-    return areas.select("polygon_id", "name", "value", "row", "col", (F.col("a") / F.col("whole")).alias("coverage"), (F.col("a") / abs(g.cx * g.cy)).alias("cell_coverage"))
+    r0, r1 = F.floor((F.array_max(at(1)) - g.y0) / g.cy), F.ceil((F.array_min(at(1)) - g.y0) / g.cy) - 1
+    held = polygons.where((r1 >= 0) & (r0 < g.rows) & (r1 >= r0))
+    rows = held.withColumn("row", F.explode(F.sequence(F.greatest(F.lit(0), r0).cast("int"), F.least(F.lit(g.rows - 1), r1).cast("int"))))
+    kept = [c for c in ("polygon_id", "name", "value")]
+    schema = ", ".join(f"{c} {dict(polygons.dtypes)[c]}" for c in kept) + ", row int, col int, coverage double, cell_coverage double"
+
+    def cut(batches):
+        for frame in batches:
+            out = []
+            for r in frame.itertuples(index=False):
+                ring = np.array([list(q) for q in r.ring], float)
+                whole, top = ring_area(ring), g.y0 + r.row * g.cy
+                band = clip(ring, -np.inf, top + g.cy, np.inf, top)
+                if len(band) < 3 or not whole:
+                    continue
+                c0, c1 = max(0, int(np.floor((band[:, 0].min() - g.x0) / g.cx))), min(g.cols, int(np.ceil((band[:, 0].max() - g.x0) / g.cx)))
+                if c1 <= c0:
+                    continue
+                area = np.diff(areas_left_of(band, g.x0 + np.arange(c0, c1 + 1) * g.cx))
+                cols = np.flatnonzero(area > 1e-12 * abs(g.cx * g.cy))
+                out.append(pd.DataFrame({**{c: [getattr(r, c)] * len(cols) for c in kept}, "row": r.row, "col": cols + c0, "coverage": area[cols] / whole, "cell_coverage": area[cols] / abs(g.cx * g.cy)}))
+            if out:
+                yield pd.concat(out)
+
+    return rows.select(*kept, "ring", "row").mapInPandas(cut, schema)
 
 
 def adjust_borders(coverage: DataFrame) -> DataFrame:

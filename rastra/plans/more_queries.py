@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import crs, geo, legends, parse
-from ..operators import algebra as A, coverage as C, distance as D, layers as L, polygonize as P, stats, tiling, warp as W
+from ..functions.geo import Georef
+from ..operators import algebra as A, clusters, coverage as C, distance as D, layers as L, polygonize as P, stats, tiling, warp as W
 from ..session import scratch_uri
-from ..sources import geotiff, tables, vector
+from ..sources import geotiff, rasters, tables, vector
 from . import grids as G
 from .queries import _MEAN, _PASSABLE, _components, _shortest, cells_sql, out, sql
 from .registry import query
@@ -72,6 +74,40 @@ def wide_windows(spark, sf):
     return inside.groupBy(F.expr("row div 256").cast("int").alias("row"), F.expr("col div 256").cast("int").alias("col")).agg(F.count("value").alias("n"))
 
 
+def _far(spark, sf):
+    """Targets: cells with many items."""
+    return A.with_value(G.wide(spark, sf), F.when(F.col("value") >= 48, F.lit(1.0)).otherwise(0.0))
+
+
+@query("wide_distance", _WIDE + """, t AS MATERIALIZED (SELECT r, c FROM w WHERE v >= 48), s AS (SELECT (k // 32 * 24)::INTEGER AS r, (k % 32 * 32)::INTEGER AS c FROM range(1024) x(k))
+  SELECT s.r AS "row", s.c AS "col", round(min(greatest(abs(s.r - t.r), abs(s.c - t.c)) + (sqrt(2) - 1) * least(abs(s.r - t.r), abs(s.c - t.c))), 4) AS value FROM s, t GROUP BY 1, 2""")
+def wide_distance(spark, sf):
+    return out(D.distance(_far(spark, sf)), 4).where("row % 24 = 0 and col % 32 = 0")
+
+
+def _patches(spark, sf):
+    """Patches of up to 16 x 16 cells, told apart by a line between them and by the cells' lines."""
+    kind = F.expr("case when row % 17 = 0 or col % 17 = 0 or value is not null and (row * 7 + col) % 5 = 0 then 0.0 else 1.0 + (row div 17 + col div 17) % 3 end")
+    return A.with_value(G.wide(spark, sf), kind)
+
+
+@query("wide_clusters", _WIDE + """, p AS MATERIALIZED (SELECT r, c, (r * 1024 + c)::BIGINT AS id, CASE WHEN r % 17 = 0 OR c % 17 = 0 OR v IS NOT NULL AND (r * 7 + c) % 5 = 0 THEN 0 ELSE 1 END AS v FROM w)
+  SELECT count(*) AS cells, (SELECT count(*) FROM p WHERE v = 0) AS apart FROM p WHERE v > 0""")
+def wide_clusters(spark, sf):
+    found = clusters.cluster_id(_patches(spark, sf))
+    return found.agg(F.count_if(F.col("value") > 0).alias("cells"), F.count_if(F.col("value") == 0).alias("apart"))
+
+
+_WIDE_MAP = Georef(768, 1024, -51.2, 38.4, 0.1, -0.1)
+_WIDE_TO = tiling.mercator_georef(_WIDE_MAP, 700, 900)
+
+
+@query("wide_warp", _WIDE + f"""SELECT i AS "row", count(v) AS n, round(sum(v), 4) AS sum FROM (SELECT i, floor((degrees(2 * atan(exp(({_WIDE_TO.y0!r}::DOUBLE + (i + 0.5) * {_WIDE_TO.cy!r}::DOUBLE) / 6378137)) - pi() / 2) - 38.4::DOUBLE) / -0.1::DOUBLE) AS sr,
+  floor((degrees(({_WIDE_TO.x0!r}::DOUBLE + (j + 0.5) * {_WIDE_TO.cx!r}::DOUBLE) / 6378137) - -51.2::DOUBLE) / 0.1::DOUBLE) AS sc FROM (SELECT (k // 900)::INTEGER AS i, (k % 900)::INTEGER AS j FROM range(630000) t(k)) x) y LEFT JOIN w ON r = sr AND c = sc GROUP BY i""")
+def wide_warp(spark, sf):
+    return _by_row(W.warp(G.wide(spark, sf), _WIDE_MAP, _WIDE_TO))
+
+
 # ---- capped distances
 
 
@@ -418,6 +454,37 @@ def geotiff_cast(spark, sf):
     return out(geotiff.read(spark, uri, dtype="u8"))
 
 
+@query("files_diff", sql("SELECT a.r AS \"row\", a.c AS \"col\", a.v::FLOAT::DOUBLE AS \"left\", (CASE WHEN a.r = 9 THEN a.v + 1 ELSE a.v END)::FLOAT::DOUBLE AS \"right\", 'data' AS kind FROM demand a WHERE a.r = 9 AND a.v IS NOT NULL"))
+def files_diff(spark, sf):
+    a, b = scratch_uri(spark, "a"), scratch_uri(spark, "b")
+    d = G.demand(spark, sf)
+    rasters.write(d, G.MAP, a, tile=16, epsg=4326)
+    rasters.write(A.with_value(d, F.when(F.col("row") == 9, F.col("value") + 1).otherwise(F.col("value"))), G.MAP, b, tile=32, epsg=4326)
+    return rasters.files_diff(spark, f"{a}/r.tif", f"{b}/r.tif").select("row", "col", "left", "right", "kind")
+
+
+@query("files_intersection_diff", sql("SELECT a.r - 4 AS \"row\", a.c - 6 AS \"col\", a.v::FLOAT::DOUBLE AS \"left\", b.v::FLOAT::DOUBLE AS \"right\" FROM demand a JOIN demand b ON b.r = a.r - 4 AND b.c = a.c - 6 WHERE a.v::FLOAT IS DISTINCT FROM b.v::FLOAT"))
+def files_intersection_diff(spark, sf):
+    a, b = scratch_uri(spark, "a"), scratch_uri(spark, "b")
+    d = G.demand(spark, sf)
+    rasters.write(d, G.MAP, a, tile=16, epsg=4326)
+    rasters.write(d, Georef(G.N, G.N, G.MAP.x0 + 6, G.MAP.y0 - 4, 1.0, -1.0), b, tile=16, epsg=4326)
+    return rasters.files_intersection_diff(spark, f"{a}/r.tif", f"{b}/r.tif").select("row", "col", "left", "right")
+
+
+@query("read_region", sql("""SELECT i AS "row", j AS "col", d.v::FLOAT::DOUBLE AS value FROM (SELECT (k // 20)::INTEGER AS i, (k % 20)::INTEGER AS j FROM range(400) t(k)) x LEFT JOIN demand d ON d.r = i + 54 AND d.c = j - 6"""))
+def read_region(spark, sf):
+    uri = scratch_uri(spark, "tiff")
+    rasters.write(G.demand(spark, sf), G.MAP, uri, tile=16, epsg=4326)
+    return rasters.read_region(spark, f"{uri}/r.tif", Georef(20, 20, G.MAP.x0 - 6, G.MAP.y0 - 54, 1.0, -1.0)).select("row", "col", "value")
+
+
+@query("arrow_round_trip", "SELECT (k // 8)::INTEGER AS \"row\", (k % 8)::INTEGER AS \"col\", CASE WHEN k % 5 <> 0 THEN k * 1.5 END::DOUBLE AS value FROM range(64) t(k)")
+def arrow_round_trip(spark, sf):
+    cells = rasters.from_arrow(spark, pa.array([None if k % 5 == 0 else k * 1.5 for k in range(64)]), 8, 8)
+    return spark.createDataFrame(rasters.to_arrow(cells)).select("row", "col", "value")
+
+
 @query("geotiff_metadata", "SELECT k::INTEGER AS overview, (64 >> k)::INTEGER AS \"rows\", (64 >> k)::INTEGER AS cols, 1 AS bands, 'f32' AS dtype, CASE WHEN k = 0 THEN 4326 END::INTEGER AS epsg, CASE WHEN k = 0 THEN -32.0 END AS x0, CASE WHEN k = 0 THEN 40.0 END AS y0, ((4 >> k) * (4 >> k))::INTEGER AS chunks FROM range(3) t(k)")
 def geotiff_metadata(spark, sf):
     uri = scratch_uri(spark, "tiff")
