@@ -17,9 +17,9 @@ import base64
 import gzip
 import hashlib
 import html
-import io
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -114,18 +114,34 @@ def record_bytes(r: dict) -> bytes:
     return head.encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
+def _members(data: bytes):
+    """The decompressed members of a gzip file, one after the other."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member, out = zlib.decompressobj(31), []
+        while not member.eof:
+            piece = view[at : at + (1 << 16)]
+            if not piece:
+                raise ValueError("the file ends within a member")
+            out.append(member.decompress(piece))
+            at += len(piece)
+        at -= len(member.unused_data)
+        yield b"".join(out)
+
+
 def parse(data: bytes):
-    """Headers and block of every record of a (gzip) WARC file, one after the other."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)))
-    while stream.readline().strip():
-        headers = {}
-        while line := stream.readline().strip(b"\r\n"):
-            k, _, v = line.decode("utf-8", "surrogatepass").partition(": ")
-            headers[k] = v
-        block = stream.read(int(headers["Content-Length"]))
-        if stream.read(4) != b"\r\n\r\n":
-            raise ValueError("a record does not end as it should")
-        yield headers, block
+    """Headers and block of every record of a (gzip) WARC file, one after the other; a member holds whole records."""
+    for raw in _members(data):
+        at = 0
+        while at < len(raw):
+            end = raw.index(b"\r\n\r\n", at)
+            lines = raw[at:end].decode("utf-8", "surrogatepass").split("\r\n")
+            headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
+            at = end + 4 + int(headers["Content-Length"])
+            if raw[at : at + 4] != b"\r\n\r\n":
+                raise ValueError("a record does not end as it should")
+            yield headers, raw[end + 4 : at]
+            at += 4
 
 
 def write_warc(records: DataFrame, uri: str, file_bytes: int = 16 << 20) -> DataFrame:
