@@ -5,7 +5,8 @@ Only ids are grouped by bucket.  First every member of a bucket is tested agains
 hub, a popular hub being copied to as many tasks as its members need.  Only buckets whose members are still in
 different classes are then compared within, in pairs of bounded blocks; pairs already in one class are left out,
 and a block hands on a spanning forest of its links, not the links.  So no link between two classes is lost, and no
-task holds a bucket.  Data of rows that share no bucket go nowhere (``storage.divided``).
+task holds a bucket.  Data of rows that share no bucket go nowhere (``storage.divided``); those of the others are
+shuffled whatever their size, so that small tables take the way of large ones.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def tested(scratch: storage.Scratch, pairs: DataFrame, payload: DataFrame, test_
     members = pairs.join(popular, "hub", "left").select("hub", F.pmod(F.xxhash64("id"), F.coalesce(parts, F.lit(1))).cast("int").alias("part"), F.lit(1).alias("kind"), "id")
     heads = counts.select("hub", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"), F.col("hub").alias("id"))
     wanted = scratch.write(members.unionByName(heads))
-    fed = wanted.join(storage.divided(payload, wanted, "id")[0], "id").select("hub", "part", "kind", "id", "data")
+    fed = wanted.hint("merge").join(storage.divided(payload, wanted, "id")[0], "id").select("hub", "part", "kind", "id", "data")
     linked = scratch.write(fed.repartition("hub", "part").sortWithinPartitions("hub", "part", "kind").mapInArrow(test_star, "a long, b long"))
     scratch.drop(counts, wanted)
     return linked
@@ -98,7 +99,7 @@ def bucket_classes(members: DataFrame, payload: DataFrame, test_star, test_block
     if not rows:
         return classes
     likely = storage.divided(payload, dealt, "id")[0]
-    more = bins_of(dealt, ["bucket", "i", "j"], rows, rows_per_bin).join(likely, "id").groupBy("bin").applyInPandas(
+    more = bins_of(dealt, ["bucket", "i", "j"], rows, rows_per_bin).hint("merge").join(likely, "id").groupBy("bin").applyInPandas(
         lambda frame: test_block(frame), "a long, b long"
     )
     out = connected_components(linked.union(more))
