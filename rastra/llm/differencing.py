@@ -133,10 +133,10 @@ def shard_documents(docs: DataFrame, shards: int = 24, *, text_col: str = "text"
     group = F.unhex(F.coalesce(F.md5(text), F.lit("00")))  # equal texts, told by 128 bits
     docs = docs.select(*[c for c in docs.columns if c not in new], size.alias("size"), group.alias("__g"))
     scratch = storage.Scratch(docs.sparkSession, "kk")
-    sizes = scratch.write(docs.groupBy("__g").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
+    sizes = scratch.write(docs.groupBy("__g").agg(F.sum("size").alias("size"), F.count("*").alias("__n")))
     to = group_shards(sizes.select(F.col("__g").alias("g"), "size"), shards, **options)
-    found = scratch.write(sizes.select("__g", "n").join(to.withColumnRenamed("g", "__g"), "__g"))
-    placed = storage.join_unique(docs, found, "__g", "n", all_rows=True).drop("n")
+    found = scratch.write(sizes.select("__g", "__n").join(to.withColumnRenamed("g", "__g"), "__g"))
+    placed = storage.join_unique(docs, found, "__g", "__n", all_rows=True).drop("__n")
     # Slots: rows are numbered within many chunks of a shard, chunks start where those before them end.
     spark = docs.sparkSession
     chunks = max(1, storage.partitions(spark) // 2)

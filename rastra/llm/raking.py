@@ -12,7 +12,7 @@ weight (the targets are met exactly, however small the sample).
 
 Defined results: null source, language or topic is a category of its own, written as a null; a null text has no tokens
 and gets its cell's probability; cells without tokens get probability 1; documents repeated with one doc_id
-share their draw; a target absent from a given table is 0, its documents are left out; an empty
+share their draw, those without one draw by a hash of their text; a target absent from a given table is 0, its documents are left out; an empty
 table gives no rows.  Other columns are kept; those named like an output are replaced.
 """
 
@@ -118,5 +118,5 @@ def mix(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, power:
     ).checkpoint()
     on = [F.col(d).eqNullSafe(F.col(f"__{d}")) for d in DIMENSIONS]
     out = docs.join(F.broadcast(per_cell) if few else per_cell, on, "left").drop(*[f"__{d}" for d in DIMENSIONS])
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(str(seed)))), 1, 13), 16, 10).cast("double") / float(16**13)
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.xxhash64(text_col).cast("string"))), F.lit(str(seed)))), 1, 13), 16, 10).cast("double") / float(16**13)
     return out.withColumn("probability", F.coalesce("__p", F.lit(1.0))).withColumn("sampled", draw < F.col("probability")).drop("__p")
