@@ -13,7 +13,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier rejects go; it learns from the stage's own labelled rows."""
+    """Documents whose language the classifier rejects go; it learns from the stage's own labelled rows.
+
+    Null texts and texts without a letter go; without any labelled row all do; an empty table gives none.
+    """
     model = langid.fit(docs.where(langid.fold() != 2))
     return langid.predict(docs.select(COLUMNS), model).where("not rejected").select(COLUMNS)
 
@@ -22,32 +25,44 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of texts stays: the one of smallest doc_id, rows without one coming last.
 
     Every text is judged, whatever its doc_id (texts are told apart by a 64-bit hash); rows that share a
-    doc_id with other texts are rows of their own.  A null text is like no other, but for its doc_id's repeats.
+    doc_id with other texts are rows of their own, and of rows equal in both one stays, the smallest.  A null text is
+    like no other, but for its doc_id's repeats; an empty table gives none.  Only texts that have a copy are shuffled, to
+    meet the list of them.
     """
-    storage.shared_dir(spark)
+    scratch = storage.Scratch(spark, "near-dedup")
     docs = docs.select(COLUMNS)
     rows = docs.where("text is not null").withColumn("__h", F.xxhash64("text"))
-    classes = order_minhash.near_duplicates(rows, 0.8, id_col="__h").select(F.col("doc_id").alias("__h"), "class_id")
-    least = rows.groupBy("__h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id")).alias("m"))
-    first = least.join(classes, "__h").groupBy("class_id").agg(F.min(F.struct("m", "__h")).alias("s"))
-    first = first.select(F.col("s.__h").alias("__w"), F.col("s.m.doc_id").alias("__d")).checkpoint()
-    on = (F.col("__h") == F.col("__w")) & F.col("doc_id").eqNullSafe(F.col("__d"))
-    rest = rows.join(first, on, "left_semi")
-    # Rows equal in doc_id and text are left: one of them stays.
-    repeated = rows.select("doc_id", "__h").join(first, on, "left_semi").groupBy("__h").count().where("count > 1").select("__h").checkpoint()
-    again = rest.join(repeated, "__h", "left_semi").groupBy("__h").agg(F.min(F.struct(*COLUMNS)).alias("s")).select("s.*")
+    classes = scratch.write(order_minhash.near_duplicates(rows, 0.8, id_col="__h").select(F.col("doc_id").alias("h"), "class_id"))
+    least = rows.groupBy(F.col("__h").alias("h")).agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id")).alias("m"))
+    least = scratch.write(least.join(classes, "h"))
+    groups = least.groupBy("class_id").agg(F.sum("n").alias("n"), F.min(F.struct("m", "h")).alias("s")).where("n > 1")
+    listed = least.join(groups.select("class_id", "s"), "class_id").select(F.col("h").alias("__h"), (F.col("h") == F.col("s.h")).alias("__first"), F.col("m.doc_id").alias("__d"))
+    listed = scratch.write(listed)
+    likely, alone = storage.divided(rows, listed, "__h")
+    repeated = scratch.write(
+        likely.select("__h", "doc_id").join(listed.where("__first"), "__h").where(F.col("doc_id").eqNullSafe(F.col("__d"))).groupBy("__h").count().where("count > 1").select("__h", F.lit(True).alias("__more"))
+    )
+    marked = likely.join(listed.join(repeated, "__h", "left").hint("merge"), "__h", "left")  # alike at every size
+    stay = marked.where(F.col("__first").isNull() | (F.col("__first") & F.col("doc_id").eqNullSafe(F.col("__d"))))
+    single = stay.where("__more is null").select(COLUMNS)
+    again = stay.where("__more").groupBy("__h").agg(F.min(F.struct(*COLUMNS)).alias("s")).select("s.*")
     empty = docs.where("text is null")
     named = empty.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("s")).select("s.*")
-    single = rest.join(repeated, "__h", "left_anti").select(COLUMNS)
-    return single.unionByName(again).unionByName(named).unionByName(empty.where("doc_id is null"))
+    return alone.select(COLUMNS).unionByName(single).unionByName(again).unionByName(named).unionByName(empty.where("doc_id is null"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A fixed share of all tokens, sampled so that they follow the tempered source, language and topic marginals."""
+    """A fixed share of all tokens, sampled so that they follow the tempered source, language and topic marginals.
+
+    A null source or language is a category of its own; rows without tokens whose cell has none stay; rows that
+    repeat a doc_id share their draw, rows without one draw by their text; an empty table gives none.
+    """
     return raking.mix(docs.select(COLUMNS), rate=raking.PRODUCTION_RATE).where("sampled").select(COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of windows of 4096 ids, each document ending with id 2; a null or empty text is that id alone; an empty
+    table gives none."""
     return packing.digest(packing.pack(docs, tokens.default_path(), end_id=2, window=4096))
 
 
