@@ -18,7 +18,7 @@ from . import storage
 from .components import block_pairs, connected_components
 
 #: Members of one hub that one group of rows holds, if the hub's members are not a HOT_KEYS-th of all.
-GROUP = 1024
+GROUP = 256
 
 
 class Forest:
