@@ -89,12 +89,6 @@ def tile_at(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
     return index(px), index(py)
 
 
-def tile_corner(x: Column, y: Column, zoom: int) -> tuple[Column, Column]:
-    """Longitude and latitude of a tile's upper left corner."""
-    n = 2.0**zoom
-    return x / n * 360 - 180, F.degrees(F.atan(F.sinh(F.lit(math.pi) * (1 - 2 * y / n))))
-
-
 def parent(x: Column, y: Column, levels: int = 1) -> tuple[Column, Column]:
     return F.shiftright(x, levels), F.shiftright(y, levels)
 

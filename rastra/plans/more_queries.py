@@ -246,6 +246,12 @@ def tile_file_names(spark, sf):
     return G.table(spark, sf, "part").select("p_partkey", *[found[c].alias(c) for c in ("y", "ratio", "extension")])
 
 
+@query("nearest_overview", "SELECT 2 AS level")
+def nearest_overview(spark, sf):
+    levels = spark.createDataFrame([(k, 4096 >> k) for k in range(5)], "level int, width int")
+    return tiling.nearest_overview(levels, F.lit(900))
+
+
 @query("pixel_sizes", "SELECT k::INTEGER AS zoom, round(40075016.68557849 / (1 << k) / 256, 6) AS size FROM range(20) t(k)")
 def pixel_sizes(spark, sf):
     return spark.createDataFrame([(z, round(geo.pixel_size(z), 6)) for z in range(20)], "zoom int, size double")

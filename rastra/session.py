@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder; one of our own only on a single machine that names none."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
+        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='rastra-')}")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage in the folder that the cluster names in ``spark.checkpoint.dir``."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='rastra-')}")
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
@@ -34,7 +44,4 @@ def dense_ids(keys: DataFrame, key: str, name: str, by: list[str] | None = None)
 
 def scratch_uri(spark: SparkSession, name: str) -> str:
     """A new folder's URI below the shared checkpoint folder."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='rastra-')}")
-    return f"{context._jsc.sc().getCheckpointDir().get().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
