@@ -1,11 +1,12 @@
 """Where jobs put data that must outlive an executor.
 
 Everything that cuts lineage goes to the folder named by ``spark.checkpoint.dir``, which the cluster
-shares.  Only where that setting is absent (unit tests on one machine) is a folder made here.
+shares.  Only where that setting is absent on one machine (unit tests) is a folder made here; a cluster must name one.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return _qualified(spark, set_dir.get())
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError(f"name a folder that all machines share in {_SETTING}")
         found = f"file://{tempfile.mkdtemp(prefix='rastra-')}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
