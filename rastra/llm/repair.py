@@ -240,8 +240,10 @@ def _write(path: str, end: int, uri: str, shard_ids: int, terminals: int):
             if size >= shard_ids:
                 yield from _close(held, uri, part, seq, shard_ids, terminals)
                 held, size, seq = [], 0, seq + 1 + size // shard_ids
+                storage.give_back()
         if held:
             yield from _close(held, uri, part, seq, shard_ids, terminals)
+        storage.give_back()
 
     return run
 
@@ -261,10 +263,11 @@ def _close(held: list, uri: str, part: int, seq: int, shard_ids: int, terminals:
 
 
 def _read(batches):
+    tokens.forget()
     for batch in batches:
         for data in batch.column(0):
             shard = Shard(data.as_py())
-            whole = shard.all_ids().astype("<u4")
+            whole = shard.all_ids().astype("<u4", copy=False)
             n = np.diff(np.append(shard.start, shard.n_ids))
             for at in range(0, shard.docs, _STEP):
                 k = slice(at, at + _STEP)
@@ -274,6 +277,7 @@ def _read(batches):
                      pa.array(shard.doc_ids[k], mask=shard.null[k].astype(bool)), pa.array(shard.start[k]), pa.array(n[k]), pa.array(ids, pa.binary())],
                     ["part", "seq", "doc_id", "inner", "n_tokens", "ids"],
                 )
+    storage.give_back()
 
 
 def write_shards(docs: DataFrame, path: str, uri: str, *, end_id: int = 1, shard_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 
+from . import storage
+
 #: Lower-casing before the look-up changes nothing below U+0180, save for the dotted capital I.
 _NOT_SIMPLE = re.compile("[İƀ-\U0010ffff]")
 #: Lower-case pieces of these characters are in normal form, and every part is what it is for the library.
@@ -31,8 +33,8 @@ GROUP_BYTES = 5_000_000
 #: Kinds of bytes: 1 blank, tab and line breaks; 2 ASCII letters; 3 other ASCII, without the apostrophe of
 #: contractions and the bar of special tokens.  Words are cut out between kinds 2 and 3; nothing joins an ASCII character to the one before it.
 _GAP = 1
-_KIND = np.array([1 if b in b" \t\n\r" else 2 if chr(b).isalpha() else 3 if 33 <= b < 127 and b not in b"'|" else 0 for b in range(128)] + [0] * 128, np.uint8)
-_BORDER = np.isin(np.arange(16), [2 * 4 + 3, 3 * 4 + 2])
+_KIND = bytes([1 if b in b" \t\n\r" else 2 if chr(b).isalpha() else 3 if 33 <= b < 127 and b not in b"'|" else 0 for b in range(128)] + [0] * 128)
+_BORDER = bytes(k in (2 * 4 + 3, 3 * 4 + 2) for k in range(256))
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -41,6 +43,11 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _translated(data: np.ndarray, table: bytes) -> np.ndarray:
+    """Each byte's entry; an array as index would take eight bytes for each."""
+    return np.frombuffer(data.tobytes().translate(table), np.uint8)
+
+
 class Encoder:
     """Ids of whole texts (null: empty): ``flat(column)`` as one array with a count a text, ``encode(texts)`` as bytes each.
 
@@ -92,37 +99,43 @@ class Encoder:
         return np.concatenate(ids or [np.zeros(0, np.uint32)]), np.concatenate(counts or [np.zeros(0, np.int64)])
 
     def _look_up(self, data: np.ndarray, offsets: np.ndarray):
-        kind = _KIND[data]
+        kind = _translated(data, _KIND)
         cut = np.zeros(len(data) + 1, bool)  # a piece begins here
         cut[offsets] = True
         cut[:-1] |= kind == _GAP
         cut[1:] |= kind == _GAP
-        cut[1:-1] |= _BORDER[kind[:-1] * 4 + kind[1:]]
+        cut[1:-1] |= _translated(kind[:-1] * 4 + kind[1:], _BORDER).view(bool)
         if b"<|" not in data.tobytes():  # else a token in capitals would turn into a special one
             lower = (data - 65) < 26
             lower[:-1] &= data[1:] < 128  # with a mark behind it, a letter may have a form of its own
             data = np.where(lower, data + 32, data)
         solid = kind != _GAP
-        upto = np.zeros(len(data) + 1, np.int64)
+        places = np.int32 if len(data) < 1 << 29 else np.int64  # a byte makes two ids at most
+        upto = np.zeros(len(data) + 1, places)
         np.cumsum(solid, out=upto[1:])
         bounds = upto[cut]
         bounds = bounds[np.r_[True, np.diff(bounds) > 0]]
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data[solid])]).dictionary_encode()
+        at = upto[offsets]
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[solid])]).dictionary_encode()
+        del kind, cut, solid, upto, data  # as large as the texts, or four times
         distinct, store = pieces.dictionary.to_pylist(), self.store
         found = list(map(store.get, distinct))
         new = [k for k, ids in enumerate(found) if ids is None]
         if len(store) + len(new) > self.known:
             store.clear()
         for k in new:
-            found[k] = store[distinct[k]] = self._piece(distinct[k].decode("utf-8"))
-        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+            raw = distinct[k]
+            plain = self.words_stay_whole and raw.isalpha()  # of bytes: ASCII letters only, most pieces
+            found[k] = store[raw] = self._tokenize(raw.decode("ascii").lower()) if plain else self._piece(raw.decode("utf-8"))
+        size = np.fromiter(map(len, found), places, len(found)) >> 2
         known = np.frombuffer(b"".join(found), "<u4")
         code = pieces.indices.to_numpy()
         n = size[code]
-        ends = np.r_[0, np.cumsum(n)]
-        place = np.repeat((np.cumsum(size) - size)[code] - ends[:-1], n)
-        place += np.arange(len(place))
-        return known[place], np.diff(ends[np.searchsorted(bounds, upto[offsets])])
+        ends = np.zeros(len(n) + 1, places)
+        np.cumsum(n, out=ends[1:])
+        place = np.repeat((np.cumsum(size, dtype=places) - size)[code] - ends[:-1], n)
+        place += np.arange(len(place), dtype=places)
+        return known[place], np.diff(ends[np.searchsorted(bounds, at)]).astype(np.int64)
 
     def _piece(self, piece: str) -> bytes:
         if not piece:
@@ -132,8 +145,6 @@ class Encoder:
             # special tokens match the raw text: one that only lower-casing would make is none
             if low == piece or not self.special(low):
                 piece = low
-        if self.words_stay_whole and piece.isascii() and piece.isalpha():
-            return self._tokenize(piece)
         if not _SIMPLE.fullmatch(piece) or self.special(piece):
             return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self._part, self.parts(piece)))
@@ -161,6 +172,12 @@ def encoder(path: str) -> Encoder:
     return _OPEN[path]
 
 
+def forget() -> None:
+    """Give up this worker's encoders and what they remember: stages that only read ids need the memory for themselves."""
+    _OPEN.clear()
+    storage.give_back()
+
+
 def gathered(batches, size: int = GROUP_BYTES):
     """Record batches joined until their bytes reach ``size``: distinct pieces are found once for all of them."""
     held: list = []
