@@ -35,6 +35,7 @@ def _encode(path: str, end: int):
                 ["part", "doc_id", "start", "n", "ids"],
             )
             start += len(ids)
+        storage.give_back()
 
     return run
 
@@ -59,6 +60,7 @@ def _wide(ids: bytes) -> np.ndarray:
 
 def _cut(window: int):
     def run(batches):
+        tokens.forget()
         for batch in batches:
             doc, first, n, ids = (batch.column(k) for k in range(4))
             for at in range(0, batch.num_rows, _STEP):
