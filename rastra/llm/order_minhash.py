@@ -147,6 +147,7 @@ def _sketch(tables: int, keep: int):
                     [piece.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(data, pa.binary())],
                     ["id", "same", "keys", "data"],
                 )
+        storage.give_back()
 
     return run
 
