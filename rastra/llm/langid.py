@@ -199,6 +199,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
                     [*piece.columns, *(pa.array(x, t) for x, t in zip(zip(*found), (pa.string(), pa.float64(), pa.bool_())))] if found else [*piece.columns, pa.array([], pa.string()), pa.array([], pa.float64()), pa.array([], pa.bool_())],
                     names=[*keep, "lang_pred", "score", "rejected"],
                 )
+        storage.give_back()
 
     return docs.select(keep).mapInArrow(run, schema)
 
