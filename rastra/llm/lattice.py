@@ -7,8 +7,9 @@ random directions must agree in 48 (at cosine 0.98 four differ on average, twelv
 the rest is verified by the cosine in double precision.  Links settle the classes (``links.bucket_classes``); within a
 class all pairs are then compared in blocks, so that n_links counts every link of the class, not only those a table found.
 
-The more vectors, the finer the cells: ``shape_for`` has two blocks a table up to 100,000 vectors, then three,
-beyond 100 million four.  Of pairs at exactly 0.98 each shape finds 99.8 % or more; tests/llm/test_lattice.py measures it.
+The cells are those of ``SHAPE`` however many vectors there are, so that a pair is met or missed in a small table as in
+a large one.  Of pairs at exactly 0.98 it finds 99.8 % or more; tests/llm/test_lattice.py measures it.  Other shapes are
+for callers who name them: coarser ones are cheaper, finer ones keep cells small beyond 100 million vectors.
 
 Defined results: only rows of one non-null label and one length link.  Vectors that are null, empty, zero or
 hold null or non-finite components link with nothing: n_links 0, component_id their own, kept.  Rows that
@@ -32,11 +33,13 @@ from .links import Forest, bins_of, bucket_classes, groups_of
 BLOCK = 1024
 #: Differing signs of 64 that candidates may have.
 FAR = 16
+#: (tables, blocks, probes): whether a pair meets depends on them.
+SHAPE = (8, 3, 4)
 
 
 def shape_for(vectors: int) -> tuple[int, int, int]:
-    """(tables, blocks, probes) for so many vectors."""
-    return (5, 2, 3) if vectors <= 100_000 else (8, 3, 4) if vectors <= 100_000_000 else (12, 4, 5)
+    """The shape for so many vectors: the same for any number, or links would depend on the rows beside them."""
+    return SHAPE
 
 
 def _roots() -> np.ndarray:
@@ -222,7 +225,7 @@ def _count_block(threshold: float, single: bool):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, *, shape: tuple[int, int, int] | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, *, shape: tuple[int, int, int] = SHAPE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     scratch = storage.Scratch(spark, "lattice")
@@ -242,7 +245,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, *, shape: tuple
     likely, rest = storage.divided(good, copies, "id")
     reps = rest.unionByName(likely.join(copies, "id", "left_anti"))
     payload = good.select("id", "data")  # of copies too, which nobody asks for
-    met = scratch.write(reps.select("id", "label", "data").mapInArrow(_hash(threshold, shape or shape_for(count["d"]), single), "bucket long, id long, code long, stored boolean"))
+    met = scratch.write(reps.select("id", "label", "data").mapInArrow(_hash(threshold, shape, single), "bucket long, id long, code long, stored boolean"))
     classes = bucket_classes(met, payload, _test_star(threshold, single), _test_block(threshold, single), block=BLOCK, rows_per_bin=4096, near=_near_codes, sift=_sift)
     weights = copied.select(F.col("rep").alias("id"), "n")
     inside = scratch.write(classes.join(weights, "id", "left").select(F.col("component").alias("bucket"), "id", F.coalesce("n", F.lit(1)).alias("w")))

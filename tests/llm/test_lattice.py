@@ -63,3 +63,27 @@ def test_planted_links_against_all_pairs(spark):
     assert len(linked) > 400 and set(got) == set(want)
     assert np.mean([got[i] == want[i] for i in linked]) >= 0.99
     assert all(got[i] == want[i] for i in want if not want[i][0])
+
+
+def met_by(shape, x, y):
+    """Which pairs of rows share a cell of ``shape`` and have near codes."""
+    h, out = lattice.Hash(x.shape[1], 0.98, shape), []
+    for at in range(0, len(x), 1000):
+        p, q = x[at : at + 1000], y[at : at + 1000]
+        met = np.zeros(len(p), bool)
+        for a, b in zip(h.cells(p), h.cells(q)):
+            met |= (b == a[:, :1]).any(1) | (a == b[:, :1]).any(1)
+        out.append(met & (np.bitwise_count((h.codes(p) ^ h.codes(q)).view("u8")) <= lattice.FAR))
+    return np.concatenate(out)
+
+
+def test_links_do_not_depend_on_the_number_of_rows(spark):
+    """Pairs that a coarser shape misses and that of large tables finds, or the other way: small tables do as large ones."""
+    assert len({lattice.shape_for(n) for n in (2, 100_000, 100_001, 10**8, 10**8 + 1, 10**10)}) == 1
+    x, y = pairs_at(0.9801, 10_000, 16, np.random.default_rng(5))
+    large, coarse = met_by((8, 3, 4), x, y), met_by((5, 2, 3), x, y)
+    odd = np.flatnonzero(large != coarse).tolist()
+    assert any(large[k] for k in odd)
+    rows = [(2 * k + side, k, v[k].tolist()) for k in odd for side, v in enumerate((x, y))]
+    got = {r["vec_id"]: r["n_links"] for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    assert got == {2 * k + side: int(large[k]) for k in odd for side in (0, 1)}
