@@ -47,7 +47,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, *, terminals: int, min_count: in
     a, rules = ids.astype(np.uint32), []
     room = ((1 << 16) if terminals < 1 << 16 else (1 << 32)) - terminals
     odd = np.random.default_rng(2)
-    bins_, number_, slots_ = np.empty(len(a), np.uint32), np.empty(len(a), np.int64), np.empty(_BINS + 1, np.int32)
+    bins_, number_, slots = np.empty(len(a), np.uint32), np.empty(len(a), np.int64), np.empty(_BINS + 1, np.int32)
     least = 1 << 62
     while len(a) > 1 and len(rules) < room:
         m1, m2 = odd.integers(1 << 31, size=2, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -63,12 +63,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, *, terminals: int, min_count: in
         if top < min_count:
             break
         least = max(min_count, min(top // 8, least // 3))
-        hot = np.flatnonzero(counts >= least)
-        slots_.fill(-1)
-        slots_[hot] = np.arange(len(hot))
-        slot = slots_[number]
-        at = np.flatnonzero(slot >= 0)
-        found = _replace(a, ends, at, slot[at], len(hot), least, room - len(rules), terminals + len(rules))
+        often = counts >= least
+        hot = np.flatnonzero(often)
+        slots[hot] = np.arange(len(hot))
+        at = np.flatnonzero(often[number])  # a table of bytes stays in the cache
+        found = _replace(a, ends, at, slots[number[at]], len(hot), least, room - len(rules), terminals + len(rules))
         before = len(a)
         if found is not None:
             a, ends, new = found

@@ -1,7 +1,7 @@
 """Exact tokenizer ids of whole texts at the speed of a dictionary.
 
 Pre-tokenisation of the supported files never joins characters across a blank, line break or tab, nor an
-ASCII letter and the sign or digit beside it, so the ids of a text are the ids of such pieces in order.  Each
+ASCII or Latin-1 letter and the ASCII sign or digit beside it, so the ids of a text are the ids of such pieces in order.  Each
 distinct piece goes through the ``tokenizers`` library once per worker (the stores are emptied when they are
 full), the rest is look-up.  ``tests/llm/test_tokens.py`` holds this equal to encoding the texts directly.
 """
@@ -35,6 +35,9 @@ GROUP_BYTES = 5_000_000
 _GAP = 1
 _KIND = bytes([1 if b in b" \t\n\r" else 2 if chr(b).isalpha() else 3 if 33 <= b < 127 and b not in b"'|" else 0 for b in range(128)] + [0] * 128)
 _BORDER = bytes(k in (2 * 4 + 3, 3 * 4 + 2) for k in range(256))
+#: This byte and the next are one character of Latin-1, a letter (kind 2) unless the next is the times or division sign.
+_ACCENT, _NO_LETTERS = 0xC3, (0x97, 0xB7)
+_WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -48,6 +51,10 @@ def _translated(data: np.ndarray, table: bytes) -> np.ndarray:
     return np.frombuffer(data.tobytes().translate(table), np.uint8)
 
 
+def _mapped(part: str) -> str:
+    return part.encode().decode("latin-1").translate(_BYTE_LEVEL)
+
+
 class Encoder:
     """Ids of whole texts (null: empty): ``flat(column)`` as one array with a count a text, ``encode(texts)`` as bytes each.
 
@@ -71,6 +78,7 @@ class Encoder:
             special = [re.escape(x["content"]) for x in file["added_tokens"]]
             self.special = re.compile("|".join(special) or "(?!)").search
             self.words_stay_whole = self.parts("aéz") == ["aéz"] and not any(x["content"].isalpha() for x in file["added_tokens"])
+            self.accents = self.words_stay_whole and self.parts("é*é1é") == ["é", "*", "é", "1", "é"]
             self.model = self.tokenizer.model
         self.known, self.store, self.part_store = known, {}, {}
 
@@ -100,6 +108,10 @@ class Encoder:
 
     def _look_up(self, data: np.ndarray, offsets: np.ndarray):
         kind = _translated(data, _KIND)
+        if self.accents and len(at := np.flatnonzero(data == _ACCENT)):
+            at = at[~np.isin(data[at + 1], _NO_LETTERS)]
+            kind = kind.copy()
+            kind[at] = kind[at + 1] = 2
         cut = np.zeros(len(data) + 1, bool)  # a piece begins here
         cut[offsets] = True
         cut[:-1] |= kind == _GAP
@@ -118,15 +130,20 @@ class Encoder:
         at = upto[offsets]
         pieces = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[solid])]).dictionary_encode()
         del kind, cut, solid, upto, data  # as large as the texts, or four times
-        distinct, store = pieces.dictionary.to_pylist(), self.store
+        distinct, store = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), self.store  # to_pylist takes ten times as long
         found = list(map(store.get, distinct))
         new = [k for k, ids in enumerate(found) if ids is None]
         if len(store) + len(new) > self.known:
             store.clear()
         for k in new:
             raw = distinct[k]
-            plain = self.words_stay_whole and raw.isalpha()  # of bytes: ASCII letters only, most pieces
-            found[k] = store[raw] = self._tokenize(raw.decode("ascii").lower()) if plain else self._piece(raw.decode("utf-8"))
+            if self.words_stay_whole and raw.isalpha():  # of bytes: ASCII letters only, most pieces
+                ids = self._tokenize(raw.decode("ascii").lower())
+            elif self.accents and _WORD(raw):
+                ids = self._tokenize(_mapped(raw.decode("utf-8").lower()))
+            else:
+                ids = self._piece(raw.decode("utf-8"))
+            found[k] = store[raw] = ids
         size = np.fromiter(map(len, found), places, len(found)) >> 2
         known = np.frombuffer(b"".join(found), "<u4")
         code = pieces.indices.to_numpy()
@@ -154,8 +171,7 @@ class Encoder:
         if ids is None:
             if len(self.part_store) >= self.known:
                 self.part_store.clear()
-            mapped = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LEVEL)
-            self.part_store[part] = ids = self._tokenize(mapped)
+            self.part_store[part] = ids = self._tokenize(part if part.isascii() else _mapped(part))
         return ids
 
     def _tokenize(self, mapped: str) -> bytes:

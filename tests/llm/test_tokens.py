@@ -84,3 +84,17 @@ def test_repair_grammar_of_a_wide_vocabulary():
         assert np.array_equal(shard.ids(7), use[350:400])
         # one more rule than the single free symbol of 65,535 would widen all symbols
         assert (len(shard.rules) == 1 if terminals == 65_535 else len(shard.rules) > 40 and len(shard.symbols) < len(ids) / 3)
+
+
+def test_words_with_accents_are_cut_from_signs_and_looked_up_once():
+    """Such a word goes to the library once, whatever signs and digits stand beside it; the ids are those of the whole text."""
+    code, calls = tokens.Encoder(PATH), []
+    tokenize = code._tokenize
+    code._tokenize = lambda mapped: calls.append(mapped) or tokenize(mapped)
+    words, signs = ["señor", "ÀÉÿß", "caf\xe9"], ["", "***", "&&&", "7", ".", "%%,", "-", "<", ">"]
+    texts = [f"{s}{w}{t} {w}{s}{t}" for w in words for s in signs for t in signs]
+    assert ours(texts, code) == [direct(x) for x in texts]
+    assert {"señor".encode(), "***".encode()} <= set(code.store) and len(code.store) <= len(words) + len(signs) ** 2
+    assert len(calls) <= len(words) + len(signs) ** 2
+    odd = [a + b + c for a in ("é", "ñ", "×", "÷", "“", "é", "ñ́", "ª", "Ā", "中", "'", "’") for b in ("*", "1", "'s", "’s", "̸", "×", "÷", "—", "|>", "<|") for c in ("é", "Ñ", "*", "A", "́", "÷*")]
+    assert ours(odd, code) == [direct(x) for x in odd]
