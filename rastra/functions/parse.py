@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Words that mean true and false, and accepted date forms in order.
@@ -24,8 +26,8 @@ def parse_date(text: Column) -> Column:
 
 
 def date_of_millis(millis: Column) -> Column:
-    """Milliseconds since 1970 as a date and time without zone."""
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_millis(millis.cast("long")).cast("timestamp_ntz"))
+    """Milliseconds since 1970 as a date and time without zone, exact whatever the session's zone."""
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.lit(timedelta(milliseconds=1)) * millis.cast("long")
 
 
 def parse_int_range(text: Column) -> Column:

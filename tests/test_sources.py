@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastra.functions import dtypes, parse
+from rastra.plans import load
 from rastra.sources import codecs, geotiff, tables
 from rastra.streaming import mosaic
 
@@ -92,6 +93,26 @@ def test_parsing(spark):
     assert tables.kind_of_file("A.TIF") == "geotiff" and tables.kind_of_file("pg:x") == "postgis" and tables.kind_of_file("x") == "unknown"
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Brussels", "America/New_York"])
+def test_dates_of_millis_in_any_zone(spark, tmp_path, zone):
+    duckdb = pytest.importorskip("duckdb")
+    millis = [0, -1, -62135596800000, None, 1445734441000, 1445738041001, 1427592600000, 576467453123001, 8210266876799999]  # two in the hour that Brussels repeats, one in the hour it skips
+    keys = [0, -1, None, 79559, 79923, 6672076, 6672077, 6672079, -6672077, 8999999, 100000001]  # from 6672077 on DuckDB rounds seconds
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        spark.createDataFrame([(m,) for m in millis], "m long").select("m", parse.date_of_millis(F.col("m")).alias("d")).write.parquet(str(tmp_path / "dates"))
+        load().QUERIES["epoch_millis"](spark, str(tmp_path)).write.parquet(str(tmp_path / "query"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    db = duckdb.connect()
+    found = db.execute(f"SELECT m, epoch_us(d) FROM read_parquet('{tmp_path}/dates/*.parquet')").fetchall()
+    assert sorted(found, key=str) == sorted([(m, None if m is None else m * 1000) for m in millis], key=str)  # exact
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    sides = [db.execute(f"SELECT o_orderkey, epoch_us(d) FROM ({q}) ORDER BY 1").fetchall() for q in (load().ORACLES["epoch_millis"], f"SELECT * FROM read_parquet('{tmp_path}/query/*.parquet')")]
+    assert len(sides[0]) == len(keys) and sides[0] == sides[1]
+
+
 def test_stream_mosaic(spark, tmp_path):
     rows = spark.createDataFrame([("2020-01-01 00:00:00", "r", 0, 0, 1.0), ("2020-01-01 02:00:00", "r", 0, 0, 2.0)], "ts string, raster_id string, row int, col int, value double").withColumn("ts", F.to_timestamp("ts"))
     rows.write.parquet(str(tmp_path / "in"))
